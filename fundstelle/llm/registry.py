@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from .fingerprints import OP2_SQL, op2_paragraph_sketches
+from .langid import op8_language_spans
 from .sharding import op1_karmarkar_karp_shards
+from .simhash import op9_simhash_pigeonring
 
-QUERIES = {f.__name__: f for f in (op1_karmarkar_karp_shards, op2_paragraph_sketches)}
+QUERIES = {f.__name__: f for f in (op1_karmarkar_karp_shards, op2_paragraph_sketches, op8_language_spans, op9_simhash_pigeonring)}
 
 ORACLE_SQL = {"op2_paragraph_sketches": OP2_SQL}
