@@ -20,12 +20,13 @@ ROUNDS = 3
 ADDED_PER_ROUND = 300
 CONFIDENCE = 0.95
 TEXT_DIMS = 1024
+PRIOR = 300.0
 HASHED = 64
 META_DIMS = 2 * HASHED + 6
 
 
-def text_features(arr: pa.Array) -> np.ndarray:
-    """Square roots of the shares of hashed byte trigrams, case and signs kept: a row of unit length for each text."""
+def trigram_counts(arr: pa.Array) -> np.ndarray:
+    """Counts of hashed byte trigrams, case and signs kept, for each text."""
     buf, offs = text_buffer(arr)
     n = len(offs) - 1
     if len(buf) < 3:
@@ -36,8 +37,16 @@ def text_features(arr: pa.Array) -> np.ndarray:
     row = np.repeat(np.arange(n), np.diff(offs))
     inside = row[:-2] == row[2:]
     count = np.bincount(row[:-2][inside] * TEXT_DIMS + h[inside], minlength=n * TEXT_DIMS).reshape(n, TEXT_DIMS)
-    total = count.sum(1, keepdims=True)
-    return np.sqrt(count / np.maximum(total, 1)).astype(np.float32)
+    return count.astype(np.float32)
+
+
+def text_features(count: np.ndarray, mean: np.ndarray) -> np.ndarray:
+    """Square roots of the trigrams' shares, less those of the usual shares.
+
+    Every text gets ``PRIOR`` further trigrams in the usual shares, so little text makes little evidence.
+    """
+    share = (count + PRIOR * mean) / (count.sum(1, keepdims=True) + PRIOR)
+    return (np.sqrt(share) - np.sqrt(mean)).astype(np.float32)
 
 
 def metadata_features(source: list, lang: list, n_chars: list, lines: np.ndarray) -> np.ndarray:
@@ -63,7 +72,7 @@ def _lines(arr: pa.Array) -> np.ndarray:
     return ends[offs[1:]] - ends[offs[:-1]] + (np.diff(offs) > 0)
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.0, steps: int = 12) -> np.ndarray:
+def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.3, steps: int = 12) -> np.ndarray:
     """Weights and intercept of a ridge logistic regression, by Newton's method."""
     x = np.hstack([x, np.ones((len(x), 1), x.dtype)]).astype(np.float64)
     w = np.zeros(x.shape[1])
@@ -93,17 +102,20 @@ class QualityModel:
     text: np.ndarray
     meta: np.ndarray
     platt: tuple[np.ndarray, np.ndarray]  # slope and intercept of each view
-    blend: np.ndarray  # of the two calibrated logits, and intercept
+    prior: float  # log-odds of good documents
+    mean: np.ndarray  # usual shares of the trigrams
     added: list[int] = field(default_factory=list)  # pseudo-labels taken over in each round
 
 
-def co_train(xt: np.ndarray, xm: np.ndarray, y: np.ndarray, held: np.ndarray, rounds: int = ROUNDS, per_round: int = ADDED_PER_ROUND, confidence: float = CONFIDENCE) -> QualityModel:
+def co_train(counts: np.ndarray, xm: np.ndarray, y: np.ndarray, held: np.ndarray, rounds: int = ROUNDS, per_round: int = ADDED_PER_ROUND, confidence: float = CONFIDENCE) -> QualityModel:
     """Fit both views; ``y`` is 0, 1 or -1 (unlabelled), and the rows of ``held`` calibrate and are never trained on.
 
     In each round either view gives the other the unlabelled documents that it is surest of,
     ``per_round`` at most and in the classes' proportion, if their calibrated probability is ``confidence`` or more; they count half a label.
     """
     known = (y >= 0) & ~held
+    mean = (counts.sum(0) + 1) / (counts.sum() + counts.shape[1])
+    xt = text_features(counts, mean)
     pool = np.flatnonzero(y < 0)
     balance = lambda t, w: w * np.where(t == 1, 0.5 / max(1e-9, (w * (t == 1)).sum()), 0.5 / max(1e-9, (w * (t == 0)).sum())) * w.sum()
     base = np.flatnonzero(known)
@@ -141,9 +153,8 @@ def co_train(xt: np.ndarray, xm: np.ndarray, y: np.ndarray, held: np.ndarray, ro
             break
         fitted = [fit(0), fit(1)]
     cal = np.flatnonzero(held & (y >= 0))
-    both = np.stack([logits(views[v][cal], fitted[v][0]) * fitted[v][1][0] + fitted[v][1][1] for v in (0, 1)], axis=1)
-    blend = fit_logistic(both, y[cal].astype(np.float64), np.ones(len(cal)), ridge=1e-2) if len(np.unique(y[cal])) > 1 else np.array([0.5, 0.5, 0.0])
-    return QualityModel(fitted[0][0].astype(np.float32), fitted[1][0].astype(np.float32), (fitted[0][1], fitted[1][1]), blend, added)
+    prior = float(np.clip(y[cal].mean(), 0.01, 0.99)) if len(cal) else share
+    return QualityModel(fitted[0][0].astype(np.float32), fitted[1][0].astype(np.float32), (fitted[0][1], fitted[1][1]), float(np.log(prior / (1 - prior))), mean.astype(np.float32), added)
 
 
 def _meta_of(b: pa.RecordBatch) -> np.ndarray:
@@ -151,7 +162,7 @@ def _meta_of(b: pa.RecordBatch) -> np.ndarray:
 
 
 def training_set(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Features of both views, labels (-1: none) and the held-out rows of a bounded sample, in the order of a hash."""
+    """Trigram counts, metadata features, labels (-1: none) and the held-out rows of a bounded sample, in the order of a hash."""
     one = labels.where("doc_id is not null and quality in (0, 1)").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").cast("int").alias("quality"))
     ids = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"))
     marked = ids.join(one, "doc_id", "left").select("doc_id", F.coalesce("quality", F.lit(-1)).alias("y"))
@@ -166,13 +177,13 @@ def training_set(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.nda
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches, "text", 2 << 20):
-            xt, xm = text_features(b.column("text")).astype(np.float16), _meta_of(b)
+            xt, xm = trigram_counts(b.column("text")), _meta_of(b)
             yield pa.record_batch([b.column("doc_id"), b.column("y"), b.column("held"), pa.array([r.tobytes() for r in xt], pa.binary()), pa.array([r.tobytes() for r in xm], pa.binary())], names=["doc_id", "y", "held", "xt", "xm"])
 
     got = rows.mapInArrow(features, "doc_id long, y int, held boolean, xt binary, xm binary").toPandas().drop_duplicates("doc_id").sort_values("doc_id")
     if not len(got):
         return np.zeros((0, TEXT_DIMS), np.float32), np.zeros((0, META_DIMS), np.float32), np.zeros(0, np.int64), np.zeros(0, bool)
-    xt = np.stack([np.frombuffer(r, np.float16) for r in got["xt"]]).astype(np.float32)
+    xt = np.stack([np.frombuffer(r, np.float32) for r in got["xt"]])
     xm = np.stack([np.frombuffer(r, np.float32) for r in got["xm"]])
     return xt, xm, got["y"].to_numpy(np.int64), got["held"].to_numpy(bool)
 
@@ -185,7 +196,8 @@ def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) ->
 
     Two logistic regressions, on trigrams of the whole text and on metadata (source, language, size and
     layout), are co-trained on a bounded sample of the labelled and unlabelled documents and calibrated on
-    a quarter of the labelled ones that neither trains on; ``score`` blends the calibrated views.
+    a quarter of the labelled ones that neither trains on; ``score`` is the probability that both give if they are independent in
+    either class: their log-odds add, less the prior's.
     ``keep`` is a score of ``threshold`` or more.
 
     Null and empty texts have no trigrams and are scored by the intercept and their metadata; null metadata have
@@ -206,9 +218,9 @@ def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) ->
                 none = pa.nulls(n, pa.float64())
                 cols = [none, none, none, pa.array(np.ones(n, bool))]
             else:
-                zt = logits(text_features(b.column("text")), m.text) * m.platt[0][0] + m.platt[0][1]
+                zt = logits(text_features(trigram_counts(b.column("text")), m.mean), m.text) * m.platt[0][0] + m.platt[0][1]
                 zm = logits(_meta_of(b), m.meta) * m.platt[1][0] + m.platt[1][1]
-                s = sigmoid(np.stack([zt, zm], axis=1) @ m.blend[:2] + m.blend[2])
+                s = sigmoid(zt + zm - m.prior)
                 cols = [pa.array(x.astype(np.float64)) for x in (sigmoid(zt), sigmoid(zm), s)] + [pa.array(s >= threshold)]
             yield pa.record_batch([b.column("doc_id"), *cols], names=["doc_id", "p_text", "p_meta", "score", "keep"])
 
