@@ -19,6 +19,8 @@ ROWS = BINS // BANDS
 JACCARD = 0.8
 #: Keys of lines are broadcast up to this number (8 MB), and joined by a shuffle beyond it.
 BROADCAST_KEYS = 1 << 20
+#: Shingles that a task of the verification holds at once (about 100 bytes each).
+MAX_HELD = 1 << 20
 _EMPTY = np.uint64(2**64 - 1)
 
 
@@ -132,27 +134,30 @@ def _cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _verify(threshold: float):
+    """Exact Jaccard of pairs; the shingle set of a line is made once for all its pairs in a task's reach."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets: dict[int, frozenset[int]] = {}
+        size = 0
         for whole in batches:
             for b in pieces(iter([whole]), "tv", 1 << 20):
-                sets = []
-                for name in ("tu", "tv"):
-                    h, row = shingle_hashes(b.column(name))
-                    order = np.lexsort((h, row))
-                    h, row = h[order], row[order]
-                    new = np.ones(len(h), bool)
-                    new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
-                    sets.append((h[new], row[new]))
-                (hu, ru), (hv, rv) = sets
-                n = b.num_rows
-                h, r = np.concatenate([hu, hv]), np.concatenate([ru, rv])
-                order = np.lexsort((h, r))
-                h, r = h[order], r[order]
-                same = np.flatnonzero((h[1:] == h[:-1]) & (r[1:] == r[:-1]))
-                both = np.bincount(r[same], minlength=n)
-                either = np.bincount(ru, minlength=n) + np.bincount(rv, minlength=n) - both
-                near = both >= threshold * np.maximum(either, 1)
-                yield pa.record_batch([b.column("u"), b.column("v")], names=["u", "v"]).filter(pa.array(near))
+                if size > MAX_HELD:
+                    sets, size = {}, 0
+                us, vs = b.column("u").to_pylist(), b.column("v").to_pylist()
+                for ids, name in ((us, "tu"), (vs, "tv")):
+                    new = {h: i for i, h in enumerate(ids) if h not in sets}
+                    h, row = shingle_hashes(b.column(name).take(pa.array(list(new.values()), pa.int64())))
+                    cuts = np.searchsorted(row, np.arange(len(new) + 1)).tolist()
+                    values = h.tolist()
+                    for k, line in enumerate(new):
+                        sets[line] = frozenset(values[cuts[k] : cuts[k + 1]])
+                    size += len(values)
+                near = []
+                for u, v in zip(us, vs):
+                    x, y = sets[u], sets[v]
+                    both = len(x & y) if min(len(x), len(y)) >= threshold * max(len(x), len(y)) else 0
+                    near.append(both >= threshold * max(1, len(x) + len(y) - both))
+                yield pa.record_batch([b.column("u"), b.column("v")], names=["u", "v"]).filter(pa.array(near, pa.bool_()))
 
     return run
 
