@@ -30,12 +30,14 @@ def shingle_hashes(arr: pa.Array, k: int = SHINGLE) -> tuple[np.ndarray, np.ndar
     buf = lower_bytes(raw)
     if not len(buf):
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    at = np.flatnonzero((buf & 0xC0) != 0x80)  # characters
-    row = np.searchsorted(offs, at, side="right") - 1
+    lead = (buf & 0xC0) != 0x80
+    at = np.flatnonzero(lead)  # characters
+    row = np.repeat(np.arange(len(offs) - 1), np.diff(offs))[at]
     bounds = np.append(at, len(buf))
     stop = np.minimum(np.arange(len(at)) + k, len(at))
     end = bounds[stop]
-    first = np.searchsorted(row, row, side="left") == np.arange(len(row))
+    first = np.ones(len(row), bool)
+    first[1:] = row[1:] != row[:-1]
     inside = end <= offs[row + 1]
     inside &= np.arange(len(at)) + k <= len(at)
     use = inside | (first & ~inside)
@@ -117,10 +119,11 @@ def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From lists of (root, h): the pairs of different roots, but for those with the first line, which were tried."""
+    """From lists of (root, h): the pairs of different roots and their bucket's first line, but for those with it, which were tried."""
     for b in batches:
         us: list[int] = []
         vs: list[int] = []
+        hubs: list[int] = []
         for rows in b.column(0).to_pylist():
             hub = min(r["h"] for r in rows)
             rows = [r for r in rows if r["h"] != hub]
@@ -129,8 +132,9 @@ def _cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     if x["root"] != y["root"]:
                         us.append(min(x["h"], y["h"]))
                         vs.append(max(x["h"], y["h"]))
+                        hubs.append(hub)
         if us:
-            yield pa.record_batch([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
+            yield pa.record_batch([pa.array(x, pa.int64()) for x in (us, vs, hubs)], names=["u", "v", "hub"])
 
 
 def _verify(threshold: float):
@@ -187,8 +191,10 @@ def line_components(docs: DataFrame, threshold: float = JACCARD) -> DataFrame:
     texts = written(_lines(docs).select("h", "line").join(_small(keys), "h", "left_semi").groupBy("h").agg(F.first("line").alias("line")))
 
     def verified(pairs: DataFrame) -> DataFrame:
-        one = pairs.join(texts.select(F.col("h").alias("u"), F.col("line").alias("tu")), "u")
-        two = one.join(texts.select(F.col("h").alias("v"), F.col("line").alias("tv")), "v")
+        one = pairs.join(texts.select(F.col("h").alias("v"), F.col("line").alias("tv")), "v")
+        two = one.join(texts.select(F.col("h").alias("u"), F.col("line").alias("tu")), "u")
+        if "hub" in pairs.columns:  # pairs of one bucket share their lines
+            two = two.repartition("hub").sortWithinPartitions("hub", "u")
         return two.select("u", "v", "tu", "tv").mapInArrow(_verify(threshold), "u long, v long")
 
     edges = written(verified(stars))
@@ -196,7 +202,7 @@ def line_components(docs: DataFrame, threshold: float = JACCARD) -> DataFrame:
     many = buckets.where(F.size("hs") > 2).withColumn("b", F.monotonically_increasing_id()).select("b", F.explode("hs").alias("h"))
     lists = many.join(found.select(F.col("node").alias("h"), "root"), "h", "left").select("b", F.struct(F.coalesce("root", "h").alias("root"), "h").alias("x"))
     lists = lists.groupBy("b").agg(F.collect_list("x").alias("rows"), F.min("x.root").alias("lo"), F.max("x.root").alias("hi")).where("lo <> hi")
-    more = written(verified(lists.select("rows").mapInArrow(_cross, "u long, v long").distinct()))
+    more = written(verified(lists.select("rows").mapInArrow(_cross, "u long, v long, hub long").groupBy("u", "v").agg(F.min("hub").alias("hub"))))
     if more.limit(1).count():
         again = written(components(edges.union(more)))
         release(found)
