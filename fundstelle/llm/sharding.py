@@ -40,15 +40,13 @@ def karmarkar_karp(sizes: list[int], k: int) -> list[int]:
         _, _, sb, tb = heapq.heappop(heap)
         # both are in descending order and lack their zeros
         room = k - len(sa)
-        free, clash = min(room, len(sb)), max(0, len(sb) - room)
-        sums = sa[: len(sa) - clash] + sb[clash : clash + free] if clash else sa + sb
-        tops = ta[: len(ta) - clash] + tb[clash : clash + free] if clash else ta + tb
-        for j in range(clash):  # largest of b onto smallest of a
-            x = len(sa) - 1 - j
+        sums, tops = sa + sb[:room], ta + tb[:room]  # the largest of b onto a's zeros
+        for j in range(room, len(sb)):  # and so on upwards
+            x = k - 1 - j
             left.append(ta[x])
             right.append(tb[j])
-            tops.append(len(left) - 1)
-            sums.append(sa[x] + sb[j])
+            tops[x] = len(left) - 1
+            sums[x] = sa[x] + sb[j]
         order = sorted(range(len(sums)), key=sums.__getitem__, reverse=True)
         sums, tops = [sums[i] for i in order], [tops[i] for i in order]
         spread = sums[0] - (sums[-1] if len(sums) == k else 0)
