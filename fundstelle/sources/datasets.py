@@ -50,8 +50,8 @@ def read_jsonl(spark: SparkSession, folder: str) -> DataFrame:
     if not fs.getFileSystem(spark._jsc.hadoopConfiguration()).exists(fs):
         return docs.withColumn("citations", F.lit(None).cast(CITATIONS)).withColumn("relations", F.lit(None).cast(RELATIONS))
     notes = spark.read.schema(f"doc_id string, citations {CITATIONS}, relations {RELATIONS}").json(path)
-    order = F.struct(F.input_file_block_start(), F.monotonically_increasing_id())
-    last = notes.groupBy("doc_id").agg(F.max_by(F.struct("citations", "relations"), order).alias("a"))
+    notes = notes.withColumn("__order", F.monotonically_increasing_id())
+    last = notes.groupBy("doc_id").agg(F.max_by(F.struct("citations", "relations"), "__order").alias("a"))
     return docs.join(last, "doc_id", "left").select(*docs.columns, F.when(F.col("a").isNotNull(), with_defaults(F.col("a.citations"))).alias("citations"), F.when(F.col("a").isNotNull(), F.coalesce("a.relations", F.array().cast(RELATIONS))).alias("relations"))
 
 
