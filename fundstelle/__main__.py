@@ -23,7 +23,7 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> in
     parser.add_argument("--engine", default="rules", choices=report.ENGINES)
     parser.add_argument("--limit", type=int)
     parser.add_argument("--out", help="folder to write to")
-    parser.add_argument("--json", action="store_true")
+    parser.add_argument("--json", help="print JSON", action="store_true")
     a = parser.parse_args(args)
     spark = spark or SparkSession.builder.appName("fundstelle").getOrCreate()
     if a.command == "extract":

@@ -26,7 +26,7 @@ def expand_case(marker: Column, court: Column, text: Column) -> Column:
     def widened(b: Column) -> Column:
         start = marker["start"] - F.length(b) - F.length(court)
         closed = ~b.contains("(") | b.contains(")")
-        alone = ~b.rlike(r"[0-9]+\s+[A-Z][A-Za-z]{0,4}\s+[0-9]+[/.]")
+        alone = ~b.rlike(r"[0-9]+\s+[A-Z][a-zA-Z]{0,4}\s+[0-9]+[./]")
         bare = F.length(F.regexp_replace(b, "^[ ,;.:–-]+|[ ,;.:–-]+$", ""))
         fits = (F.length(b) <= WIDEST_GAP) & closed & alone & (b.rlike(CONTEXT) | (bare <= 3))
         return F.when(fits, span(start, marker["end"], F.substr(text, start + 1, marker["end"] - start))).otherwise(own)

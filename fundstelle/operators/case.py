@@ -9,11 +9,11 @@ from fundstelle.functions.dialect import FLAGS, fixed, guarded, matches, slice_t
 from fundstelle.schema import CITATION, MARKER, citation, citation_id, span
 from fundstelle.sources.lexicon import court_pattern, reporter_pattern
 
-_REGISTER = "(?:AR|B|BH|C|GS|K|KH|R|RH|S)"
-FILE_NUMBER = rf"(?:[BLS]\s)?(?:[0-9]{{1,2}}[a-z]?|[IVX]+)\s(?<code>[A-Z][A-Za-z]{{0,4}})(?:\s\([A-Za-z]{{1,6}}\))?(?:\s[A-Za-z]{{1,6}})?\s[0-9]{{1,6}}[/.][0-9]{{2}}(?:\s{_REGISTER})?"
-_SUBJECTS = "(?:A|AL|AS|AY|BK|BL|EG|KA|KG|KR|KS|LW|P|R|RE|RS|SB|SO|SF|U|ÜG|V|VG|VH|VJ|VK|VS)"
+_REGISTER = "(?:" + "|".join(sorted("S RH R KH K GS C BH B AR".split())) + ")"
+FILE_NUMBER = rf"(?:[BLS]\s)?(?:[0-9]{{1,2}}[a-z]?|[IVX]+)\s(?<code>[A-Z][a-zA-Z]{{0,4}})(?:\s\([A-Za-z]{{1,6}}\))?(?:\s[A-Za-z]{{1,6}})?\s[0-9]{{1,6}}[/.][0-9]{{2}}(?:\s{_REGISTER})?"
+_SUBJECTS = "(?:A[LSY]?|B[KL]|EG|K[AGRS]|LW|P|R[ES]?|S[BFO]|U|ÜG|V[GHJKS]?)"
 SOCIAL = rf"^([BLS])\s[0-9]{{1,2}}\s{_SUBJECTS}\s[0-9]{{1,6}}/[0-9]{{2}}"
-SOCIAL_COURT = {"B": "Bundessozialgericht", "L": "LSG", "S": "SG"}
+SOCIAL_COURT = dict(S="SG", L="LSG", B="Bundessozialgericht")
 #: Currencies, units and abbreviations that look like register codes.
 NOT_CODES = ("Abs", "DM", "EUR", "GB", "GHz", "KB", "KHz", "MB", "MHz", "Nr", "Rn", "TB")
 WINDOWS = (100, 200, 500)

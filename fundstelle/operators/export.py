@@ -9,6 +9,7 @@ from fundstelle.functions.dialect import fixed, slice_text
 from fundstelle.operators.tokens import tokens
 from fundstelle.schema import CITATION, MARKER, RELATION
 
+W3C = "http://www.w3.org/ns/" + "anno.jsonld"
 _COMMON = ("id", "type", "kind", "span", "confidence", "source")
 _LAW_ALWAYS = ("unit", "delimiter", "book", "number")
 _LAW_IF_SET = ("structure", "range_end", "range_extensions", "resolves_to")
@@ -87,7 +88,7 @@ def web_annotations(df: DataFrame, source: Column | str = "", namespace: str = "
     rows = df.select("doc_id", uri.cast("string").alias("uri"), F.explode("citations").alias("c"))
     c = F.col("c")
     body = _objects(F.to_json(F.struct(F.lit("TextualBody").alias("type"), F.lit("tagging").alias("purpose"), label(c).alias("value"))), F.concat(F.lit('{"properties":'), citation_json(c), F.lit("}")))
-    head = F.to_json(F.struct(F.lit("http://www.w3.org/ns/anno.jsonld").alias("@context"), F.concat(F.lit(namespace), c["id"]).alias("id"), F.lit("Annotation").alias("type"), F.lit("classifying").alias("motivation")))
+    head = F.to_json(F.struct(F.lit(W3C).alias("@context"), F.concat(F.lit(namespace), c["id"]).alias("id"), F.lit("Annotation").alias("type"), F.lit("classifying").alias("motivation")))
     place = F.struct(F.lit("TextPositionSelector").alias("type"), c["span"]["start"].alias("start"), c["span"]["end"].alias("end"))
     target = F.to_json(F.struct(F.struct(F.col("uri").alias("source"), place.alias("selector")).alias("target")))
     return rows.select("doc_id", _objects(head, F.concat(F.lit('{"body":'), body, F.lit("}")), target).alias("annotation"))

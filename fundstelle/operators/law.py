@@ -44,11 +44,11 @@ def phases(lexicon: LawLexicon, html: bool = False) -> list[Phase]:
     article = r"Art(?:ikel|\.?)\s"
     number = r"[0-9]+\s?[a-z]?"
     return [
-        Phase("multi", rf"{sign}{sign}{gap}[0-9a-zäöüA-ZÄÖÜ§ ,;.\-/]{{4,200}}\s{book}{ahead}", ()),
+        Phase("multi", rf"{sign}{sign}{gap}[-§,;./ 0-9A-ZÄÖÜa-zäöü]{{4,200}}\s{book}{ahead}", ()),
         Phase("direct", rf"{sign}{gap}{SECTION} {named}{ahead}", ("sect", "book")),
         Phase("clause", rf"{sign}{gap}{SECTION} Abs. [0-9]+ Alt. [0-9]+ {named}{ahead}", ("sect", "book")),
         Phase("any", rf"{sign}{gap}{SECTION} {BETWEEN} {named}{ahead}", ("sect", "book")),
-        Phase("full name", rf"{sign}{gap}{SECTION}.{{0,80}}?\sde[sr]\s(?:[a-zäüö][a-zäüöß]+\s)*(?<book>[A-ZÄÜÖ][A-Za-zÄÜÖäüöß]+?(?:{_NAME_ENDS})){ahead}", ("sect", "book")),
+        Phase("full name", rf"{sign}{gap}{SECTION}.{{0,80}}?\sde[sr]\s(?:[a-zäöü][äöüßa-z]+\s)*(?<book>[ÄÖÜA-Z][äöüßÄÖÜA-Za-z]+?(?:{_NAME_ENDS})){ahead}", ("sect", "book")),
         Phase("articles", rf"{article}(?<body>{number}(?:\s*(?:[,;]|und|bis)\s+{number})+)\s+{named}{ahead}", ("body", "book")),
         Phase("article", rf"{article}{SECTION}{BETWEEN}\s+{named}{ahead}", ("sect", "book")),
     ]

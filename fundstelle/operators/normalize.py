@@ -20,12 +20,19 @@ FORMATS = ("plain", "html", "markdown")
 BLOCK_TAGS = frozenset("article blockquote br dd div dt h1 h2 h3 h4 h5 h6 hr li p pre section tr".split())
 HIDDEN_TAGS = frozenset(("head", "script", "style"))
 _TOKEN = re.compile(r"<[^>]*>?|&|[^<&]+")
+
+
+def _around(sign: str) -> str:
+    """Text between one or two of a sign on either side."""
+    return f"{sign}{{1,2}}([^{sign}]+){sign}{{1,2}}"
+
+
 _MARKS = (
-    (re.compile(r"^#{1,6}\s+", re.M), None),
-    (re.compile(r"\*{1,2}([^*]+)\*{1,2}"), 1),
-    (re.compile(r"_{1,2}([^_]+)_{1,2}"), 1),
-    (re.compile(r"`([^`]+)`"), 1),
-    (re.compile(r"\[([^\]]+)\]\([^)]+\)"), 1),
+    (re.compile(r"(?m)^#{1,6}\s+"), None),
+    (re.compile(_around(r"\*")), 1),
+    (re.compile(_around("_")), 1),
+    (re.compile("`(?P<code>[^`]+)`"), 1),
+    (re.compile(r"\[(?P<shown>[^\]]+)\]\((?:[^)]+)\)"), 1),
 )
 
 
@@ -72,7 +79,7 @@ def html_to_text(raw: str) -> tuple[str, list[tuple[int, int, int]]]:
         if token[0] == "<":
             inner = token[1:-1]
             words = inner.lstrip("/").split()
-            name = words[0].split("/")[0].lower() if words else ""
+            name = words[0].lower().partition("/")[0] if words else ""
             if name in HIDDEN_TAGS:
                 depth = max(0, depth - 1) if inner.startswith("/") else depth + 1
             if name in BLOCK_TAGS and not depth:
@@ -166,7 +173,7 @@ def remove_markers(text: Column) -> Column:
     return F.regexp_replace(text, F.lit(r"(?d)\[ref=[-a-z0-9]+\](.*?)\[/ref\]"), F.lit("$1"))
 
 
-_ABBREVIATED = "[0-9]+|[IVX]+|[a-zA-Z]|sog|ca|Urt|Abs|Nr|lfd|vgl|Rn|Rspr|std|ff|bzw|Art"
+_ABBREVIATED = "|".join(("[0-9]+", "[IVX]+", "[A-Za-z]", *"Abs Art Nr Rn Rspr Urt bzw ca ff lfd sog std vgl".split()))
 
 
 def with_tokenizer_mask(df: DataFrame, text: str = "text", out: str = "masked") -> DataFrame:

@@ -12,9 +12,9 @@ from fundstelle.sources.lexicon import REPORTER_COURT
 LIST = f"array<{CITATION}>"
 #: In order of precedence; ``i`` ignores case.
 RELATION_PATTERNS = (
-    ("ivm", r"(?iu)(?:i\.?\s*V\.?\s*m\.?|in\s+Verbindung\s+mit)"),
+    ("ivm", r"(?iu)(?:in\s+Verbindung\s+mit|i[.]?\s*V[.]?\s*m[.]?)"),
     ("vgl", r"vgl\.?"),
-    ("aao", r"a\.?\s*a\.?\s*O\.?"),
+    ("aao", r"(?:a[.]?\s*){2}O[.]?"),
     ("ebenda", r"(?iu)(?:ebd\.?|ebenda)"),
     ("siehe", r"siehe\s+dort"),
 )

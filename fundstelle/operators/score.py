@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 FIELDS = {"law": ("book", "number"), "case": ("court", "file_number")}
-_SENATE = r"(?iu)\s+\d+\.\s*(?:Zivilsenat|Strafsenat|Senat|Kammer|Familiensenat|Revisionssenat|Kartellsenat)$"
+_SENATE = r"(?iu)\s+\d+\.\s*(?:Kammer|(?:Familien|Kartell|Revisions|Straf|Zivil)?Senat)$"
 
 
 def prf(tp: Column, fp: Column, fn: Column) -> list[Column]:

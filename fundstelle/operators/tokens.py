@@ -13,7 +13,7 @@ from fundstelle.schema import CITATION, citation, citation_id, span
 from fundstelle.sources.lexicon import register_code_set
 
 TOKEN = "struct<start:int,end:int,text:string,space:boolean>"
-LABELS = ("O", "B-LAW_REF", "I-LAW_REF", "B-CASE_REF", "I-CASE_REF")
+LABELS = ("O", *(f"{p}-{kind}_REF" for kind in ("LAW", "CASE") for p in "BI"))
 #: Label names of other models.
 ALIASES = {f"{p}-{a}": f"{p}-{b}_REF" for p in "BI" for a, b in (("LAW", "LAW"), ("GS", "LAW"), ("VO", "LAW"), ("RS", "CASE"), ("AZ", "CASE"), ("CASE", "CASE"), ("LAW_REF", "LAW"), ("CASE_REF", "CASE"))} | {"O": "O"}
 
@@ -59,7 +59,7 @@ def bio_spans(token: Column, labels: Column) -> Column:
 
 def parse_law(text: Column) -> Column:
     """``struct<book,number>`` of a law span: the number behind the section sign, and the last word if it is a name."""
-    number = F.nullif(F.trim(F.regexp_extract(text, FLAGS + r"^§§?\s*(\d+\s?[a-z]?)", 1)), F.lit(""))
+    number = F.nullif(F.trim(F.regexp_extract(text, FLAGS + r"^§{1,2}\s*(\d+(?:\s?[a-z])?)", 1)), F.lit(""))
     last = F.element_at(F.split(F.regexp_replace(text, r"(?U)^\s+|\s+$", ""), r"(?U)\s+"), -1)
     book = F.when(last.rlike("^[A-ZÄÖÜ]") & ~last.isin("Abs.", "Nr.", "S."), F.lower(last))
     return F.struct(book.alias("book"), number.alias("number"))
@@ -67,8 +67,8 @@ def parse_law(text: Column) -> Column:
 
 def parse_case(text: Column) -> Column:
     """``struct<court,file_number>`` of a case span."""
-    number = F.nullif(F.regexp_extract(text, FLAGS + r"(?:[IVX]+|\d+)\s+[A-Z][A-Za-z]{0,4}\s+\d+[/.]\d{2,4}", 0), F.lit(""))
-    court = F.nullif(F.trim(F.regexp_extract(text, FLAGS + r"^([A-ZÄÖÜ][A-Za-zÄÖÜäöüß\s-]+?)(?:,|\s+(?:Urteil|Beschl|vom|\d))", 1)), F.lit(""))
+    number = F.nullif(F.regexp_extract(text, FLAGS + r"(?:\d+|[VIX]+)\s+[A-Z][a-zA-Z]{0,4}\s+\d+[./]\d{2,4}", 0), F.lit(""))
+    court = F.nullif(F.trim(F.regexp_extract(text, FLAGS + r"^([ÄÖÜA-Z][-\säöüßÄÖÜa-zA-Z]+?)(?=,|\s+(?:vom|\d|Beschl|Urteil))", 1)), F.lit(""))
     return F.struct(court.alias("court"), number.alias("file_number"))
 
 
@@ -149,7 +149,7 @@ def token_features(df: DataFrame) -> DataFrame:
     own = {
         "lower": low, "shape": word_shape(word), "len": F.least(F.length(word), F.lit(10)).cast("string"), "isdigit": word.rlike(r"(?U)^\d+$"), "isupper": letters & (F.upper(word) == word), "istitle": title,
         "has_slash": word.contains("/"), "has_dot": word.contains("."), "has_hyphen": word.contains("-"), "prefix2": F.left(low, F.lit(2)), "suffix2": F.right(low, F.lit(2)), "suffix3": F.right(low, F.lit(3)),
-        "is_section": sign, "is_art": low.startswith("art"), "is_abs": low.isin("abs.", "abs"), "is_nr": low.isin("nr.", "nr"), "is_satz": low.isin("satz", "s."), "is_ivm": low.isin("i.v.m.", "ivm"),
+        "is_section": sign, "is_art": low.startswith("art"), "is_abs": low.isin("abs.", "abs"), "is_nr": low.isin("nr.", "nr"), "is_satz": low.isin("satz", "s."), "is_ivm": low.isin("ivm", "i.v.m."),
         "is_register": word.isin(*sorted(register_code_set())), "looks_like_year": word.rlike(r"^\d{2,4}$"), "looks_like_fn": word.rlike(r"^\d+/\d{2}$"),
     }
     cur = df.select("doc_id", "pos", "word", *[v.alias(k) for k, v in own.items()])

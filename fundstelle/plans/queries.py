@@ -36,7 +36,7 @@ def _refs(df: DataFrame) -> DataFrame:
     return df.select("doc_id", F.explode_outer("markers").alias("m")).select("doc_id", F.explode_outer("m.refs").alias("r")).where("r is not null").select("doc_id", "r.book", F.col("r.section").alias("number"))
 
 
-# ---------------------------------------------------------------- law and case engines
+# -- law and case engines
 def _law(t: Template) -> Query:
     return lambda spark, d: _exploded(with_law_markers(t.docs(spark, d)), law_citations(F.col("markers")), "book", "number", "unit")
 
@@ -96,7 +96,7 @@ add(
     f"select doc_id, concat(coalesce(text, ''), ' Nach ', repeat('_', length({LAW['law_single'].parts[1]})), ' gilt dies.') as masked from documents",
 )
 
-# ---------------------------------------------------------------- merge, short forms, relations
+# -- merge, short forms, relations
 _mixed: Query = lambda spark, d: extract(MIXED.docs(spark, d), normalize=False)
 add("pipeline_end_to_end", lambda spark, d: _exploded(_mixed(spark, d), F.col("citations"), "type", "book", "number", "court", "file_number"), MIXED.expected("type", "book", "number", "court", "file_number"))
 
@@ -181,7 +181,7 @@ add(
     "select doc_id, substr(sha256(concat_ws('|', cast(doc_id as varchar), '3', cast(doc_id % 50 + 4 as varchar), concat('§ ', cast(doc_id as varchar)), 'regex')), 1, 12) as id from documents",
 )
 
-# ---------------------------------------------------------------- normalisation
+# -- normalisation
 _FORMATS = "case doc_id % 5 when 0 then '<p>x</p>' when 1 then concat('# T', chr(10), 'x') when 2 then 'ein **fettes** Wort' when 3 then '  <div>y</div>' else 'nur Text' end"
 add(
     "detect_format",
@@ -220,7 +220,7 @@ add(
     f"select doc_id, concat('am ', repeat('_', 8), ' ', repeat('_', length({Template.sql('(x {n})')})), ' ', repeat('_', 4), ' so') as masked from documents",
 )
 
-# ---------------------------------------------------------------- tokens and exports
+# -- tokens and exports
 add(
     "tokens_whitespace",
     lambda spark, d: _table(spark, d, "documents").select("doc_id", F.posexplode_outer(tokens.tokens(F.col("text"))).alias("pos", "t")).where("t is not null").select("doc_id", F.col("pos").cast("long").alias("pos"), F.col("t.text").alias("word")),
@@ -314,7 +314,7 @@ add(
     ),
 )
 
-# ---------------------------------------------------------------- scores, checks and diagnosis
+# -- scores, checks and diagnosis
 _GOLD = [
     "l_orderkey as doc_id", "l_n as ord", "concat('c', cast(l_n as string)) as id", "case when l_n % 2 = 0 then 'law' else 'case' end as type", "l_n * 20 as start", "l_n * 20 + 10 as \"end\"",
     "concat('b', cast(l_suppkey % 11 as string)) as book", "cast(l_partkey % 500 as string) as number", "concat('LG ', cast(l_suppkey % 5 as string)) as court", "case l_suppkey % 3 when 0 then '1 A 2/03' when 1 then 'C 4.05' else 'AB-7' end as file_number",
@@ -404,7 +404,7 @@ add(
     "select n as documents, round(cast(t as double), 6) as total, round(a, 6) as mean, round(q, 6) as median, round(s[least(n - 1, cast(floor(n * 0.95) as bigint)) + 1], 6) as p95, round(s[least(n - 1, cast(floor(n * 0.99) as bigint)) + 1], 6) as p99, round(s[n], 6) as max from v",
 )
 
-# ---------------------------------------------------------------- analytics on the output
+# -- analytics on the output
 add(
     "citations_per_book",
     lambda spark, d: citation_rows(_mixed(spark, d)).where("type = 'law'").groupBy("book").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("doc_id").alias("docs")),

@@ -33,8 +33,8 @@ FIELDS = {
 CITATION = "struct<" + ",".join(f"{k}:{v}" for k, v in FIELDS.items()) + ">"
 RELATION = f"struct<source_id:string,target_id:string,relation:string,span:{SPAN}>"
 MARKER = "struct<phase:int,start:int,end:int,text:string,refs:array<struct<book:string,section:string,court:string,file_number:string>>>"
-KINDS = ("full", "short", "id", "ibid", "supra", "aao", "ebenda")
-RELATIONS = ("ivm", "vgl", "aao", "ebenda", "siehe", "resolves_to", "parallel")
+KINDS = tuple("aao ebenda full ibid id short supra".split())
+RELATIONS = tuple("aao ebenda ivm parallel resolves_to siehe vgl".split())
 STRUCTURE_KEYS = frozenset(
     "abschnitt absatz alternative anhang anlage buch buchstabe doppelbuchstabe halbsatz kapitel nummer satz spiegelstrich stufe tabelle teil titel unterabschnitt untertitel variante ziffer".split()
 )

@@ -29,6 +29,7 @@ class AmbiguousReferenceError(CitationError):
 BASE_CODES = tuple(sorted("AsylG BGB GG VwGO GkG stbstg lbo ZPO LVwG BauGB BauNVO ZWStS SbStG StPO TKG SG SGG".split())) + ("AGVwGO SH", "SGB X")
 GENERIC_BOOK = r"[A-ZÄÜÖ][-ÄÜÖäüöA-Za-z]{0,20}[VGOB](?:\s[XIV]{1,5})?"
 UNITS = ("article", "paragraph")
+OFF = frozenset(("", "0", "False", "false"))
 
 
 def _rows(path: Path) -> list[dict[str, str]]:
@@ -74,7 +75,7 @@ def load_law_lexicon(path: str | os.PathLike | None = None, precise: bool | None
     A missing file leaves the base codes.
     """
     if precise is None:
-        precise = os.environ.get("CITATIONS_PRECISE_BOOKS", "1") not in ("0", "false", "False", "")
+        precise = os.environ.get("CITATIONS_PRECISE_BOOKS", "1") not in OFF
     if not precise:
         return LawLexicon(BASE_CODES, {}, False)
     p = Path(path) if path else DATA / "law_codes.csv"
@@ -106,7 +107,7 @@ def law_codes(spark: SparkSession, path: str | None = None) -> DataFrame:
 def register_codes(spark: SparkSession, path: str | None = None) -> DataFrame:
     """The distinct register codes: the first column of a CSV table, without a remark in brackets."""
     raw = spark.read.csv(path, schema="code string") if path else spark.read.csv(f"file://{DATA}/register_codes.csv", header=True, schema="code string")
-    return raw.select(F.regexp_replace("code", r"\s\((.*?)\)", "").alias("code")).where("code is not null").distinct()
+    return raw.select(F.regexp_replace("code", r"\s[(].*?[)]", "").alias("code")).where("code is not null").distinct()
 
 
 @lru_cache(maxsize=1)
@@ -138,7 +139,7 @@ REPORTERS = (
     "AuAS BAGE BB BFHE BGHR BGHSt BGHZ BPatGE BSGE BVerfGE BVerwGE BayVBl DAR DB DVBl DÖV EFG FamRZ GA GRUR GRUR-RR GrS HFR InfAuslR JR JZ LKRZ MDR "
     "NJW NJW-RR NStZ NStZ-RR NVwZ NVwZ-RR NZA NZA-RR NZBau NZG NZM NZS NZV NZWiSt NordÖR RGSt RGZ RiA SozR StV VRS VersR WM ZIP ZMR ZUM ZfA wistra BFH/NV"
 ).split()
-REPORTER_COURT = {"BGHZ": "BGH", "BGHSt": "BGH", "BGHR": "BGH", "BVerfGE": "BVerfG", "BVerwGE": "BVerwG", "BAGE": "BAG", "BSGE": "BSG", "BFHE": "BFH", "BPatGE": "BPatG", "RGZ": "RG", "RGSt": "RG"}
+REPORTER_COURT = {f"{court}{part}": court for court, parts in (("BAG", "E"), ("BFH", "E"), ("BGH", "R St Z"), ("BPatG", "E"), ("BSG", "E"), ("BVerfG", "E"), ("BVerwG", "E"), ("RG", "St Z")) for part in parts.split()}
 
 
 @lru_cache(maxsize=1)
