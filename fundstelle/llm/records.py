@@ -16,6 +16,8 @@ from .bpe import VOCABULARY, encode
 from .common import documents, shared_dir
 
 MAX_FILE_BYTES = 256 << 20
+#: Ids that are framed at once: their checksums' arrays take about 50 bytes for each byte of data.
+MAX_IDS = 1 << 18
 MASK_DELTA = 0xA282EAD8
 _CHUNK = 128
 INDEX = "doc_id long, file string, offset long, length long, n_tokens long, checksum long"
@@ -121,15 +123,25 @@ def frames(ids: np.ndarray, counts: np.ndarray, doc_id: np.ndarray, width: int)
     return out.tobytes(), lens + 16, sums
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Cut the batches so that each holds about ``MAX_IDS`` ids at most, or one row."""
+    for b in batches:
+        ends = np.cumsum(b.column("ids").value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < b.num_rows:
+            base = ends[at - 1] if at else 0
+            to = max(at + 1, int(np.searchsorted(ends, base + MAX_IDS, side="right")))
+            yield b.slice(at, to - at)
+            at = to
+
+
 def _writer(uri: str, width: int, max_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = pafs.FileSystem.from_uri(uri)
         fs.create_dir(root, recursive=True)
         stream, name, at = None, "", 0
         try:
-            for b in batches:
-                if not b.num_rows:
-                    continue
+            for b in _slices(batches):
                 if stream is None or at >= max_bytes:
                     if stream is not None:
                         stream.close()
