@@ -28,7 +28,7 @@ DOC_SCHEMA = T.StructType(
 DOC_COLUMNS = DOC_SCHEMA.names
 
 
-# --------------------------------------------------------------------------- Spark side
+# -- Spark side
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -83,11 +83,7 @@ def bounded_sample(df: DataFrame, by: str, id_col: str, per_class: int, seed: in
     return rows.where(slot < cut).withColumn("__rank", rank).where(F.col("__rank") <= per_class).drop("__rank")
 
 
-def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | T.StructType) -> DataFrame:
-    return df.mapInArrow(fn, schema)
-
-
-# --------------------------------------------------------------------------- Arrow and bytes
+# -- Arrow and bytes
 def text_buffer(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a string array and its n+1 offsets, starting at 0; null counts as empty."""
     if isinstance(arr, pa.ChunkedArray):
@@ -104,7 +100,7 @@ def text_buffer(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return buf, offsets - offsets[0]
 
 
-def pieces(batches: Iterator[pa.RecordBatch], col: str, max_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def pieces(batches: Iterator[pa.RecordBatch], col: str, max_bytes: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Cut the batches so that each holds about ``max_bytes`` of text at most, or one row."""
     for b in batches:
         if b.num_rows == 0:
