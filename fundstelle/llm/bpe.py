@@ -14,7 +14,7 @@ import tiktoken
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, list_array, pieces
+from .common import documents, list_array, pieces, tidy
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -211,12 +211,12 @@ def encode(docs: DataFrame, path: str = VOCABULARY, leaf_chars: int = LEAF_CHARS
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     # one scan for each kind: which rows are long is seen from the length alone
-    short = rows.where(F.length("text") <= leaf_chars).mapInArrow(_encode_short(path), "doc_id long, ids array<int>, round_trip boolean")
+    short = rows.where(F.length("text") <= leaf_chars).mapInArrow(tidy(_encode_short(path)), "doc_id long, ids array<int>, round_trip boolean")
     long = rows.where(F.length("text") > leaf_chars).withColumn("tie", F.xxhash64("text")).groupBy("doc_id", "tie", "text").agg(F.count(F.lit(1)).cast("int").alias("copies"))
     starts = F.sequence(F.lit(0), F.floor((F.length("text") - 1) / leaf_chars).cast("int"))
     leaves = long.select("doc_id", "tie", "copies", F.posexplode(F.transform(starts, lambda i: F.substring("text", i * leaf_chars + 1, F.lit(leaf_chars)))).alias("k", "part"))
     spread = leaves.repartition(F.col("doc_id"), F.col("tie"), F.col("k"))
-    done = spread.mapInArrow(_encode_leaves(path), "doc_id long, tie long, copies int, k int, part string, ids array<int>, ends array<int>, counts array<int>")
+    done = spread.mapInArrow(tidy(_encode_leaves(path)), "doc_id long, tie long, copies int, k int, part string, ids array<int>, ends array<int>, counts array<int>")
     whole = done.groupBy("doc_id", "tie").applyInArrow(_join_leaves(path), "doc_id long, ids array<int>, round_trip boolean")
     return short.unionByName(whole)
 
@@ -230,7 +230,7 @@ def decode(encoded: DataFrame, path: str = VOCABULARY) -> DataFrame:
             texts = [c.decode(x or []) for x in b.column("ids").to_pylist()]
             yield pa.record_batch([b.column("doc_id"), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
+    return encoded.select("doc_id", "ids").mapInArrow(tidy(run), "doc_id long, text string")
 
 
 def token_count(ids: Column | str) -> Column:

@@ -6,6 +6,9 @@ vectorised passes instead of a Python loop.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import functools
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -84,6 +87,23 @@ def bounded_sample(df: DataFrame, by: str, id_col: str, per_class: int, seed: in
 
 
 # -- Arrow and bytes
+def tidy(fn: Callable[..., Iterator[pa.RecordBatch]]) -> Callable[..., Iterator[pa.RecordBatch]]:
+    """Give a task's freed memory back to the system when it ends: Spark keeps its Python workers for later tasks."""
+
+    @functools.wraps(fn)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from fn(batches)
+        finally:
+            for key in _POW:
+                _POW[key] = np.ones(1, np.uint64)
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    return run
+
+
 def text_buffer(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a string array and its n+1 offsets, starting at 0; null counts as empty."""
     if isinstance(arr, pa.ChunkedArray):

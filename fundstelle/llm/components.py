@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import release, written
+from .common import release, tidy, written
 
 
 def _local_forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -46,7 +46,7 @@ def components(edges: DataFrame) -> DataFrame:
     per neighbour, never pairs of neighbours.
     """
     e = edges.select(F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v")).where("u is not null and v is not null and u <> v")
-    cur = written(e.mapInArrow(_local_forest, "u long, v long").distinct())
+    cur = written(e.mapInArrow(tidy(_local_forest), "u long, v long").distinct())
     while True:
         # large star: every larger neighbour of u links to the least node of u's neighbourhood
         both = cur.select("u", "v").union(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, mix64
+from .common import documents, mix64, tidy
 
 CELLS = 32
 HASHES = 3
@@ -174,7 +174,7 @@ def version_differences(docs: DataFrame) -> DataFrame:
     rows = rows.where(F.size("new") > 0).withColumn("title", F.col("new")[0])
     w = Window.partitionBy("title").orderBy("doc_id", "tie")
     rows = rows.select("doc_id", F.lag("doc_id").over(w).alias("prev_id"), F.coalesce(F.lag("new").over(w), F.array().cast("array<bigint>")).alias("old"), "new")
-    return rows.mapInArrow(_compare, "doc_id long, prev_id long, removed string, added string, n_removed long, n_added long")
+    return rows.mapInArrow(tidy(_compare), "doc_id long, prev_id long, removed string, added string, n_removed long, n_added long")
 
 
 def op2_paragraph_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import DOC_COLUMNS, bounded_sample, documents, lower_bytes, pieces, text_buffer, word_spans
+from .common import DOC_COLUMNS, bounded_sample, documents, lower_bytes, pieces, text_buffer, tidy, word_spans
 
 #: The fit reads so many labelled documents of each language at most.
 TRAIN_DOCS_PER_LANG = 400
@@ -249,7 +249,7 @@ def identify_languages(docs: DataFrame, model: LanguageModel | None = None, pena
         for b in pieces(batches, "text", 4 << 20):
             yield pa.record_batch([b.column("doc_id"), *_identify(b.column("text"), shared.value, penalty)], names=["doc_id", "label", "share", "accepted", "mixed", "spans"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SPANS)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(run), SPANS)
 
 
 def keep_identified(docs: DataFrame, model: LanguageModel | None = None, penalty: float = SWITCH_PENALTY) -> DataFrame:
@@ -263,7 +263,7 @@ def keep_identified(docs: DataFrame, model: LanguageModel | None = None, penalty
             b = b.set_column(b.schema.get_field_index("lang"), "lang", label)
             yield b.filter(accepted)
 
-    return docs.select(*DOC_COLUMNS).mapInArrow(run, schema)
+    return docs.select(*DOC_COLUMNS).mapInArrow(tidy(run), schema)
 
 
 def op8_language_spans(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Hasher, documents, lower_bytes, mix64, pieces, release, text_buffer, written
+from .common import Hasher, documents, lower_bytes, mix64, pieces, release, text_buffer, tidy, written
 from .components import components
 
 SHINGLE = 9
@@ -183,9 +183,9 @@ def line_components(docs: DataFrame, threshold: float = JACCARD) -> DataFrame:
     pairs: first each line against the first of its bucket, then, in buckets that hold different
     components still, every pair across them.
     """
-    bands = _lines(docs).select("h", "line").mapInArrow(_emit_bands, "band long, h long")
+    bands = _lines(docs).select("h", "line").mapInArrow(tidy(_emit_bands), "band long, h long")
     sorted_bands = bands.repartition("band").sortWithinPartitions("band", "h")
-    buckets = written(sorted_bands.mapInArrow(_buckets, "hs array<long>").distinct())
+    buckets = written(sorted_bands.mapInArrow(tidy(_buckets), "hs array<long>").distinct())
     stars = buckets.select(F.array_min("hs").alias("u"), F.explode("hs").alias("v")).where("u <> v").distinct()
     keys = written(buckets.select(F.explode("hs").alias("h")).distinct())
     texts = written(_lines(docs).select("h", "line").join(_small(keys), "h", "left_semi").groupBy("h").agg(F.first("line").alias("line")))
@@ -195,14 +195,14 @@ def line_components(docs: DataFrame, threshold: float = JACCARD) -> DataFrame:
         two = one.join(texts.select(F.col("h").alias("u"), F.col("line").alias("tu")), "u")
         if "hub" in pairs.columns:  # pairs of one bucket share their lines
             two = two.repartition("hub").sortWithinPartitions("hub", "u")
-        return two.select("u", "v", "tu", "tv").mapInArrow(_verify(threshold), "u long, v long")
+        return two.select("u", "v", "tu", "tv").mapInArrow(tidy(_verify(threshold)), "u long, v long")
 
     edges = written(verified(stars))
     found = written(components(edges))
     many = buckets.where(F.size("hs") > 2).withColumn("b", F.monotonically_increasing_id()).select("b", F.explode("hs").alias("h"))
     lists = many.join(found.select(F.col("node").alias("h"), "root"), "h", "left").select("b", F.struct(F.coalesce("root", "h").alias("root"), "h").alias("x"))
     lists = lists.groupBy("b").agg(F.collect_list("x").alias("rows"), F.min("x.root").alias("lo"), F.max("x.root").alias("hi")).where("lo <> hi")
-    more = written(verified(lists.select("rows").mapInArrow(_cross, "u long, v long, hub long").groupBy("u", "v").agg(F.min("hub").alias("hub"))))
+    more = written(verified(lists.select("rows").mapInArrow(tidy(_cross), "u long, v long, hub long").groupBy("u", "v").agg(F.min("hub").alias("hub"))))
     if more.limit(1).count():
         again = written(components(edges.union(more)))
         release(found)

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import DOC_COLUMNS, documents, mix64, pieces, text_buffer, word_spans, written
+from .common import DOC_COLUMNS, documents, mix64, pieces, text_buffer, tidy, word_spans, written
 
 BLOCK_TOKENS = 1024
 BLOCKS_PER_SHARD = 256
@@ -149,7 +149,7 @@ def mix_sources(
     n_docs = rows.count()
     buckets = max(1, math.ceil(n_docs / DOCS_PER_BUCKET))
     rows = rows.withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(buckets)))
-    counted = rows.select("src", "bucket", "text").mapInArrow(_count_tokens, "src string, bucket long, n long")
+    counted = rows.select("src", "bucket", "text").mapInArrow(tidy(_count_tokens), "src string, bucket long, n long")
     sums = written(counted.groupBy("src", "bucket").agg(F.sum("n").alias("n")))
     sizes = {r[0]: int(r[1]) for r in sums.groupBy("src").agg(F.sum("n")).collect() if r[1]}
     blocks = {s: -(-n // block_tokens) for s, n in sizes.items()}
@@ -160,19 +160,19 @@ def mix_sources(
         return spark.createDataFrame([], "shard long, slot long, source string, block long, n_tokens long, lang string, text string")
     shards = -(-total // blocks_per_shard)
     # slots of the shards
-    draws = spark.range(0, shards).mapInArrow(_draw(shares, blocks_per_shard, total, seed), "shard long, src string, n long")
+    draws = spark.range(0, shards).mapInArrow(tidy(_draw(shares, blocks_per_shard, total, seed)), "shard long, src string, n long")
     by_source = Window.partitionBy("src").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     by_shard = Window.partitionBy("shard").orderBy("src").rowsBetween(Window.unboundedPreceding, -1)
     draws = draws.withColumn("nth0", F.coalesce(F.sum("n").over(by_source), F.lit(0))).withColumn("slot0", F.coalesce(F.sum("n").over(by_shard), F.lit(0)))
     one = draws.where("n > 0").select("shard", "src", "nth0", "slot0", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("j"))
     slots = one.select("shard", (F.col("slot0") + F.col("j")).alias("slot"), "src", (F.col("nth0") + F.col("j")).alias("nth"))
-    slots = slots.mapInArrow(_slots(blocks, seed), "shard long, slot long, src string, block long")
+    slots = slots.mapInArrow(tidy(_slots(blocks, seed)), "shard long, slot long, src string, block long")
     # blocks
     w = Window.partitionBy("src").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     bases = sums.select("src", "bucket", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("base"))
     placed = rows.where(F.col("src").isin(list(shares))) if len(shares) < len(sizes) else rows
     placed = placed.join(bases.hint("shuffle_hash"), ["src", "bucket"]).sortWithinPartitions("src", "bucket", "id", F.xxhash64("text"))
-    parts = placed.select("src", "bucket", "base", "lang", "text").mapInArrow(_cut(block_tokens), "src string, block long, at int, n int, piece string, ends boolean, lang string")
+    parts = placed.select("src", "bucket", "base", "lang", "text").mapInArrow(tidy(_cut(block_tokens)), "src string, block long, at int, n int, piece string, ends boolean, lang string")
     parts = parts.groupBy("src", "block").agg(F.array_sort(F.collect_list(F.struct("at", "n", "piece", "ends", "lang"))).alias("p"))
     text = F.aggregate("p", F.lit(""), lambda acc, x: F.concat(acc, x["piece"], F.when(x["ends"], JOINT).otherwise("")))
     langs = F.array_sort(F.array_distinct(F.filter(F.transform("p", lambda x: x["lang"]), lambda x: x.isNotNull())))

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, documents, mix64, pieces, text_buffer
+from .common import bounded_sample, documents, mix64, pieces, text_buffer, tidy
 
 #: The fit reads so many labelled documents of each class, and so many without a label, at most.
 TRAIN_DOCS_PER_CLASS = 1500
@@ -180,7 +180,7 @@ def training_set(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.nda
             xt, xm = trigram_counts(b.column("text")), _meta_of(b)
             yield pa.record_batch([b.column("doc_id"), b.column("y"), b.column("held"), pa.array([r.tobytes() for r in xt], pa.binary()), pa.array([r.tobytes() for r in xm], pa.binary())], names=["doc_id", "y", "held", "xt", "xm"])
 
-    got = rows.mapInArrow(features, "doc_id long, y int, held boolean, xt binary, xm binary").toPandas().drop_duplicates("doc_id").sort_values("doc_id")
+    got = rows.mapInArrow(tidy(features), "doc_id long, y int, held boolean, xt binary, xm binary").toPandas().drop_duplicates("doc_id").sort_values("doc_id")
     if not len(got):
         return np.zeros((0, TEXT_DIMS), np.float32), np.zeros((0, META_DIMS), np.float32), np.zeros(0, np.int64), np.zeros(0, bool)
     xt = np.stack([np.frombuffer(r, np.float32) for r in got["xt"]])
@@ -225,7 +225,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) ->
             yield pa.record_batch([b.column("doc_id"), *cols], names=["doc_id", "p_text", "p_meta", "score", "keep"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "source", "lang", F.col("n_chars").cast("long").alias("n_chars"))
-    return rows.mapInArrow(run, SCORES)
+    return rows.mapInArrow(tidy(run), SCORES)
 
 
 def op10_co_trained_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

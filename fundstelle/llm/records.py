@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import VOCABULARY, encode
-from .common import documents, shared_dir
+from .common import documents, shared_dir, tidy
 
 MAX_FILE_BYTES = 256 << 20
 #: Ids that are framed at once: their checksums' arrays take about 50 bytes for each byte of data.
@@ -176,7 +176,7 @@ def write_records(encoded: DataFrame, uri: str, width: int = 2, max_file_bytes:
     """
     spark = encoded.sparkSession
     rows = encoded.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("ids").cast("array<int>").alias("ids"))
-    rows.mapInArrow(_writer(f"{uri}/data", width, max_file_bytes), INDEX).write.parquet(f"{uri}/index")
+    rows.mapInArrow(tidy(_writer(f"{uri}/data", width, max_file_bytes)), INDEX).write.parquet(f"{uri}/index")
     index = spark.read.schema(INDEX).parquet(f"{uri}/index")
     fs, root = pafs.FileSystem.from_uri(f"{uri}/data")
     good = {r[0] for r in index.select("file").distinct().toLocalIterator()}
@@ -215,7 +215,7 @@ def read_records(index: DataFrame, uri: str, width: int = 2) -> DataFrame:
             flat = np.concatenate(got) if got else np.zeros(0, np.int32)
             yield pa.record_batch([b.column("doc_id"), pa.ListArray.from_arrays(pa.array(offs), pa.array(flat))], names=["doc_id", "ids"])
 
-    return index.select("doc_id", "file", "offset", "length").mapInArrow(run, "doc_id long, ids array<int>")
+    return index.select("doc_id", "file", "offset", "length").mapInArrow(tidy(run), "doc_id long, ids array<int>")
 
 
 def op6_record_files(spark: SparkSession, sf_dir: str) -> DataFrame:
