@@ -107,11 +107,13 @@ class QualityModel:
     added: list[int] = field(default_factory=list)  # pseudo-labels taken over in each round
 
 
-def co_train(counts: np.ndarray, xm: np.ndarray, y: np.ndarray, held: np.ndarray, rounds: int = ROUNDS, per_round: int = ADDED_PER_ROUND, confidence: float = CONFIDENCE) -> QualityModel:
+def co_train(counts: np.ndarray, xm: np.ndarray, y: np.ndarray, held: np.ndarray, rounds: int = ROUNDS, per_round: int = ADDED_PER_ROUND, confidence: float = CONFIDENCE, totals: tuple[int, int] | None = None) -> QualityModel:
     """Fit both views; ``y`` is 0, 1 or -1 (unlabelled), and the rows of ``held`` calibrate and are never trained on.
 
     In each round either view gives the other the unlabelled documents that it is surest of,
     ``per_round`` at most and in the classes' proportion, if their calibrated probability is ``confidence`` or more; they count half a label.
+    ``totals`` has the bad and the good documents of the whole table, of which the labelled rows are a sample by class:
+    calibration, prior and the classes' proportion are the table's.
     """
     known = (y >= 0) & ~held
     mean = (counts.sum(0) + 1) / (counts.sum() + counts.shape[1])
@@ -121,7 +123,12 @@ def co_train(counts: np.ndarray, xm: np.ndarray, y: np.ndarray, held: np.ndarray
     base = np.flatnonzero(known)
     views = [xt, xm]
     extra: list[dict[int, int]] = [{}, {}]
-    share = float(np.mean(y[base])) if len(base) else 0.5
+    sampled = np.array([(y == 0).sum(), (y == 1).sum()], np.float64)
+    real = sampled if totals is None else np.asarray(totals, np.float64)
+    stands = real / np.maximum(sampled, 1)  # documents of the table for each labelled row
+    stands *= sampled.sum() / max(1e-9, (stands * sampled).sum())
+    weighed = lambda rows: float(np.average(y[rows], weights=stands[y[rows]]))
+    share = weighed(base) if len(base) else 0.5
     added = []
 
     def fit(v: int) -> tuple[np.ndarray, np.ndarray]:
@@ -133,7 +140,7 @@ def co_train(counts: np.ndarray, xm: np.ndarray, y: np.ndarray, held: np.ndarray
         cal = np.flatnonzero(held & (y >= 0))
         if len(np.unique(y[cal])) < 2:
             return w, np.array([1.0, 0.0])
-        return w, fit_logistic(logits(views[v][cal], w)[:, None], y[cal].astype(np.float64), np.ones(len(cal)), ridge=1e-3)
+        return w, fit_logistic(logits(views[v][cal], w)[:, None], y[cal].astype(np.float64), stands[y[cal]], ridge=1e-3)
 
     fitted = [fit(0), fit(1)]
     for _ in range(rounds):
@@ -153,7 +160,7 @@ def co_train(counts: np.ndarray, xm: np.ndarray, y: np.ndarray, held: np.ndarray
             break
         fitted = [fit(0), fit(1)]
     cal = np.flatnonzero(held & (y >= 0))
-    prior = float(np.clip(y[cal].mean(), 0.01, 0.99)) if len(cal) else share
+    prior = float(np.clip(weighed(cal), 0.01, 0.99)) if len(cal) else share
     return QualityModel(fitted[0][0].astype(np.float32), fitted[1][0].astype(np.float32), (fitted[0][1], fitted[1][1]), float(np.log(prior / (1 - prior))), mean.astype(np.float32), added)
 
 
@@ -161,11 +168,13 @@ def _meta_of(b: pa.RecordBatch) -> np.ndarray:
     return metadata_features(b.column("source").to_pylist(), b.column("lang").to_pylist(), b.column("n_chars").to_pylist(), _lines(b.column("text")))
 
 
-def training_set(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Trigram counts, metadata features, labels (-1: none) and the held-out rows of a bounded sample, in the order of a hash."""
+def training_set(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, tuple[int, int]]:
+    """Trigram counts, metadata features, labels (-1: none) and the held-out rows of a bounded sample, and the whole table's bad and good documents."""
     one = labels.where("doc_id is not null and quality in (0, 1)").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").cast("int").alias("quality"))
     ids = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"))
     marked = ids.join(one, "doc_id", "left").select("doc_id", F.coalesce("quality", F.lit(-1)).alias("y"))
+    count = {r[0]: r[1] for r in marked.where("y >= 0").groupBy("y").agg(F.countDistinct("doc_id")).collect()}
+    totals = (count.get(0, 0), count.get(1, 0))
     picked = bounded_sample(marked, "y", "doc_id", max(TRAIN_DOCS_PER_CLASS, UNLABELLED_DOCS))
     slot = F.xxhash64(F.lit(7), "doc_id")
     from pyspark.sql import Window
@@ -182,10 +191,10 @@ def training_set(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.nda
 
     got = rows.mapInArrow(tidy(features), "doc_id long, y int, held boolean, xt binary, xm binary").toPandas().drop_duplicates("doc_id").sort_values("doc_id")
     if not len(got):
-        return np.zeros((0, TEXT_DIMS), np.float32), np.zeros((0, META_DIMS), np.float32), np.zeros(0, np.int64), np.zeros(0, bool)
+        return np.zeros((0, TEXT_DIMS), np.float32), np.zeros((0, META_DIMS), np.float32), np.zeros(0, np.int64), np.zeros(0, bool), totals
     xt = np.stack([np.frombuffer(r, np.float32) for r in got["xt"]])
     xm = np.stack([np.frombuffer(r, np.float32) for r in got["xm"]])
-    return xt, xm, got["y"].to_numpy(np.int64), got["held"].to_numpy(bool)
+    return xt, xm, got["y"].to_numpy(np.int64), got["held"].to_numpy(bool), totals
 
 
 SCORES = "doc_id long, p_text double, p_meta double, score double, keep boolean"
@@ -196,7 +205,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) ->
 
     Two logistic regressions, on trigrams of the whole text and on metadata (source, language, size and
     layout), are co-trained on a bounded sample of the labelled and unlabelled documents and calibrated on
-    a quarter of the labelled ones that neither trains on; ``score`` is the probability that both give if they are independent in
+    a quarter of the labelled ones that neither trains on, weighted to the classes' counts in the whole table; ``score`` is the probability that both give if they are independent in
     either class: their log-odds add, less the prior's.
     ``keep`` is a score of ``threshold`` or more.
 
@@ -205,9 +214,9 @@ def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) ->
     Without labels of both classes all scores are null and all documents are kept.
     """
     model = None
-    xt, xm, y, held = training_set(docs, labels)
+    xt, xm, y, held, totals = training_set(docs, labels)
     if len(np.unique(y[(y >= 0) & ~held])) == 2:
-        model = co_train(xt, xm, y, held)
+        model = co_train(xt, xm, y, held, totals=totals)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
