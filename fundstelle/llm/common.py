@@ -37,9 +37,15 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A fresh path in the folder that ``spark.checkpoint.dir`` names; a local one only where that is unset."""
+    """A fresh path in the folder that ``spark.checkpoint.dir`` names.
+
+    Where that is unset, a local master gets a temporary folder of this process; on a cluster it is an error, as
+    executors of other machines couldn't read each other's local folders.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = _LOCAL.setdefault("dir", f"file://{tempfile.mkdtemp(prefix='corpus-')}")
     return f"{root.rstrip('/')}/tables/{uuid.uuid4().hex}"
 
@@ -86,6 +92,29 @@ def bounded_sample(df: DataFrame, by: str, id_col: str, per_class: int, seed: in
     return rows.where(slot < cut).withColumn("__rank", rank).where(F.col("__rank") <= per_class).drop("__rank")
 
 
+def small(df: DataFrame, rows: int = 1 << 20) -> DataFrame:
+    """A written table of narrow rows, broadcast if it has ``rows`` at most; joins shuffle beyond it."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
+def summed(df: DataFrame, fn: Callable[[pa.RecordBatch], np.ndarray], size: int) -> np.ndarray:
+    """Sum of ``fn``'s float arrays of ``size`` over all batches: by partition, then by 64 groups, then here."""
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size)
+        for b in batches:
+            if b.num_rows:
+                total += fn(b).ravel()
+        yield pa.record_batch([pa.array([total.tobytes()], pa.binary())], names=["s"])
+
+    def merge(table: pa.Table) -> pa.Table:
+        return pa.table({"s": pa.array([np.sum([np.frombuffer(x) for x in table.column("s").to_pylist()], axis=0).tobytes()], pa.binary())})
+
+    parts = df.mapInArrow(tidy(partial), "s binary").withColumn("g", F.pmod(F.spark_partition_id(), F.lit(64)))
+    rows = parts.groupBy("g").applyInArrow(merge, "s binary").collect()
+    return np.sum([np.frombuffer(r[0]) for r in rows], axis=0) if rows else np.zeros(size)
+
+
 # -- Arrow and bytes
 def tidy(fn: Callable[..., Iterator[pa.RecordBatch]]) -> Callable[..., Iterator[pa.RecordBatch]]:
     """Give a task's freed memory back to the system when it ends: Spark keeps its Python workers for later tasks."""
@@ -143,6 +172,35 @@ def lower_bytes(buf: np.ndarray) -> np.ndarray:
     return out
 
 
+def _lower_table() -> np.ndarray:
+    low = np.arange(1 << 16, dtype=np.uint32)
+    for i in range(0xD800):
+        x = chr(i).lower()
+        if len(x) == 1:
+            low[i] = ord(x)
+    return low
+
+
+LOWER = _lower_table()
+
+
+def code_points(arr: pa.Array, fold: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of a string array and its n+1 offsets in them; with ``fold`` in lower case, where that is one code point of the BMP."""
+    buf, offs = text_buffer(arr)
+    ends = np.zeros(len(buf) + 1, np.int64)
+    np.cumsum((buf & 0xC0) != 0x80, out=ends[1:])
+    try:
+        cps = np.frombuffer(buf.tobytes().decode().encode("utf-32-le"), np.uint32)
+        offs = ends[offs]
+    except UnicodeDecodeError:  # damaged rows count with replacement characters
+        texts = [buf[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(offs[:-1], offs[1:])]
+        cps = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
+        offs = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
+    if fold and len(cps):
+        cps = np.where(cps < 1 << 16, LOWER[np.minimum(cps, 0xFFFF)], cps)
+    return cps, offs
+
+
 _P = np.uint64(0x9E3779B97F4A7C15)
 _PINV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _POW: dict[str, np.ndarray] = {"p": np.ones(1, np.uint64), "i": np.ones(1, np.uint64)}

@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 
 from .common import release, tidy, written
 
+#: Edges (16 bytes each, after each partition's union-find) up to which one task joins what is left.
+ONE_TASK = 1 << 19
+
 
 def _local_forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Union-find within one partition: its edges shrink to one per joined node."""
@@ -37,16 +40,21 @@ def _local_forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.record_batch([pa.array(part[:, 0]), pa.array(part[:, 1])], names=["u", "v"])
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, one_task: int = ONE_TASK) -> DataFrame:
     """``(node, root)`` of every node that an edge ``(u, v)`` of two integers touches; root is the least node.
 
-    Null ends and loops are ignored. Every round is two narrow shuffles of the remaining edges with
+    Null ends and loops are ignored. Each partition joins its own edges first; up to ``one_task`` edges that remain are
+    joined in one task, and more of them in rounds: every round is two narrow shuffles of the remaining edges with
     map-side combining; the rounds grow with the logarithm of the longest path, and the table of each
-    is written to the shared folder, so a lost executor costs one round at most. A hub has one edge
-    per neighbour, never pairs of neighbours.
+    is written to the shared folder, so a lost executor costs one round at most; ``release`` deletes the last
+    one. A hub has one edge per neighbour, never pairs of neighbours.
     """
     e = edges.select(F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v")).where("u is not null and v is not null and u <> v")
     cur = written(e.mapInArrow(tidy(_local_forest), "u long, v long").distinct())
+    if cur.count() <= one_task:
+        done = written(cur.coalesce(1).mapInArrow(tidy(_local_forest), "u long, v long"))
+        release(cur)
+        return _members(done)
     while True:
         # large star: every larger neighbour of u links to the least node of u's neighbourhood
         both = cur.select("u", "v").union(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -63,5 +71,12 @@ def components(edges: DataFrame) -> DataFrame:
         cur = nxt
         if tuple(a) == tuple(b):
             break
+    return _members(cur)
+
+
+def _members(cur: DataFrame) -> DataFrame:
+    """The members of stars ``(u, v)``, their centres too."""
     members = cur.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    return members.union(cur.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+    out = members.union(cur.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+    out._shared_path = cur._shared_path  # type: ignore[attr-defined]
+    return out

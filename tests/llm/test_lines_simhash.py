@@ -5,7 +5,7 @@ import pyarrow as pa
 
 from fundstelle.llm import linededup
 from fundstelle.llm.linededup import dedup_lines, line_components
-from fundstelle.llm.simhash import THRESHOLD, keep_one_of_each, near_duplicates, ring_filter, segment_differences, simhash_codes
+from fundstelle.llm.simhash import COSINE, THRESHOLD, bucket_links, cosines, keep_one_of_each, near_duplicates, ring_filter, segment_differences, simhash_codes
 
 WORDS = ["".join(random.Random(i).choices("abcdefghijklmnopqrstuvwxyz", k=3 + i % 7)) for i in range(3000)]
 
@@ -85,20 +85,90 @@ def test_ring_filter_never_drops_a_near_pair():
     assert ring_filter(rng.integers(6, 12, (1000, 20)).astype(np.uint8), THRESHOLD).mean() < 0.05
 
 
+def _bag(text):
+    """Words, other signs, and pairs of neighbours in scripts without spaces, the plain way."""
+    import collections
+    import re
+
+    found = re.findall(r"[\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff]+|(?:(?![\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff])[^\W_])+|[^\w\s]|_", text.lower())
+    out = collections.Counter()
+    for x in found:
+        if re.match(r"[\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff]", x):
+            out.update(x[i : i + 2] for i in range(len(x)))
+        else:
+            out[x] += 1
+    return out
+
+
+def _cosine(a, b):
+    x, y = _bag(a), _bag(b)
+    return sum((x[k] * y[k]) ** 0.5 for k in x) / max(1e-9, (sum(x.values()) * sum(y.values())) ** 0.5)
+
+
+def test_cosines_equal_the_plain_form():
+    texts = ["Der Hund, der bellt; der_Hund.", "漢字かな ab 漢字", "x=1+2\ny=1-2", "ÄÖ äö Ωω Жж", "", "a a a b"]
+    pairs = [(a, b) for a in texts for b in texts]
+    got = cosines(pa.array([a for a, _ in pairs]), pa.array([b for _, b in pairs]))
+    assert np.allclose(got, [_cosine(a, b) if a and b else 0 for a, b in pairs])
+
+
 def test_near_duplicates_equal_brute_force(spark, odd, none):
     rng = random.Random(4)
     base = [_text(rng, rng.randint(30, 120)) for _ in range(50)]
     docs = [(i, t) for i, t in enumerate(base + [_edited(rng, b, 0.04) for b in base for _ in range(2)] + base[:10] + [_text(rng, 50) for _ in range(60)])]
     codes, _ = simhash_codes(pa.array([t for _, t in docs]))
-    diff = lambda a, b: int(segment_differences(codes[a : a + 1].copy(), codes[b : b + 1].copy()).sum()) <= THRESHOLD
-    want = {i: r for i, r in enumerate(_groups(list(range(len(docs))), diff)) if i != r}
+    near = lambda a, b: int(segment_differences(codes[a : a + 1].copy(), codes[b : b + 1].copy()).sum()) <= THRESHOLD and _cosine(docs[a][1], docs[b][1]) >= COSINE
     df = spark.createDataFrame(docs, "doc_id long, text string")
     got = {r.doc_id: r.duplicate_of for r in near_duplicates(df).collect()}
-    assert len(set(got.items()) & set(want.items())) >= 0.9 * len(want) and not set(got) - set(want)
-    assert all(i in got for i in range(150, 160))  # exact copies
+    assert all(r < i and r not in got and _cosine(docs[i][1], docs[r][1]) >= COSINE for i, r in got.items())
+    kept = [i for i in range(len(docs)) if i not in got]
+    assert not [(i, j) for i in kept for j in kept if j < i and near(i, j)]  # the kept ones are all different
+    assert len(got) >= 0.95 * 110 and all(i in got for i in range(150, 160))  # exact copies
     assert keep_one_of_each(df).count() == len(docs) - len(got)
-    kept = keep_one_of_each(odd)
-    assert kept.columns == odd.columns and kept.count() == odd.count()
+    rest = keep_one_of_each(odd)
+    assert rest.columns == odd.columns and rest.count() == odd.count()
     assert near_duplicates(none).count() == 0
     same = spark.createDataFrame([(5, "alpha beta gamma delta"), (3, "alpha beta gamma delta"), (4, "Alpha beta GAMMA delta")], "doc_id long, text string")
     assert sorted(map(tuple, near_duplicates(same).collect())) == [(4, 3), (5, 3)]
+
+
+def test_texts_that_share_long_words_or_letters_alone_stay(spark):
+    rng = random.Random(6)
+    short = ["".join(rng.choices("abcdefgh", k=3)) for _ in range(600)]
+    numbers = [" ".join(f"{rng.randint(0, 999)}" for _ in range(200)) for _ in range(2)]
+    code = ["a = b + c * d ; " * 20, "a ( b ) [ c ] { d } " * 20]
+    texts = ["Regierung " + " ".join(short[:300]), "Regierung " + " ".join(short[300:]), "Tabelle Nummern " + numbers[0], "Tabelle Nummern " + numbers[1], *code]
+    assert near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).count() == 0
+
+
+def test_a_chain_goes_only_as_far_as_texts_are_near(spark):
+    rng = random.Random(16)
+    chain = [_text(rng, 200)]
+    for _ in range(12):
+        chain.append(_edited(rng, chain[-1], 0.06))
+    got = {r.doc_id: r.duplicate_of for r in near_duplicates(spark.createDataFrame(list(enumerate(chain)), "doc_id long, text string")).collect()}
+    assert got and all(r not in got and _cosine(chain[i], chain[r]) >= COSINE for i, r in got.items()) and 12 not in [r for r in got.values()]
+    assert len(set(range(13)) - set(got)) >= 3
+
+
+def test_bucket_links_connect_what_all_pairs_would():
+    rng = np.random.default_rng(11)
+    centre = rng.integers(0, 2, (30, 320)).astype(np.uint8)
+    rows, keys = [], []
+    for k in range(12):
+        for c in rng.integers(0, 30, 4):
+            for _ in range(rng.integers(1, 30)):
+                x = centre[c].copy()
+                x[rng.permutation(320)[: rng.integers(0, 60)]] ^= 1
+                rows.append(x)
+                keys.append(k)
+    order = np.argsort(keys, kind="stable")
+    key, code = np.array(keys)[order], np.packbits(np.array(rows)[order], axis=1)
+    node = np.arange(len(key))
+    u, v = bucket_links(key, node, code)
+    assert len(u) < 2 * len(key)
+    linked = set(zip(u.tolist(), v.tolist()))
+    dist = np.bitwise_count(code.view(np.uint64)[:, None] ^ code.view(np.uint64)[None]).sum(2)
+    all_pairs = lambda i, j: key[i] == key[j] and dist[i, j] <= THRESHOLD
+    assert all(all_pairs(i, j) for i, j in linked)
+    assert _groups(node.tolist(), all_pairs) == _groups(node.tolist(), lambda i, j: (i, j) in linked or (j, i) in linked)
