@@ -2,235 +2,332 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Hasher, documents, lower_bytes, mix64, pieces, release, text_buffer, tidy, written
+from .common import code_points, documents, mix64, pieces, release, small, text_buffer, tidy, written
 from .components import components
 
 SHINGLE = 5
-BINS = 32
+HASHES = 32
 BANDS = 8
-ROWS = BINS // BANDS
+ROWS = HASHES // BANDS
 JACCARD = 0.8
-#: Keys of lines are broadcast up to this number (8 MB), and joined by a shuffle beyond it.
-BROADCAST_KEYS = 1 << 20
-#: Shingles that a task of the verification holds at once (about 100 bytes each).
-MAX_HELD = 1 << 20
-_EMPTY = np.uint64(2**64 - 1)
+#: Lines of one band key that are compared in one task; more are cut to blocks, and pairs of blocks meet.
+BLOCK_LINES = 2048
+#: Lines (16 bytes each) that a task remembers to have sent; beyond it forgets them and sends repeated lines again.
+REMEMBERED = 1 << 20
+_RNG = np.random.Generator(np.random.PCG64(20240415))
+_MIX = _RNG.integers(0, 1 << 63, SHINGLE, np.uint64) * np.uint64(2) + np.uint64(1)
+_MULTIPLY = _RNG.integers(0, 1 << 31, HASHES, np.uint32) * np.uint32(2) + np.uint32(1)
+_SPACES = np.zeros(256, bool)
+_SPACES[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32]] = True
+
+
+# -- lines and shingles
+def line_spans(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Byte ranges, rows and numbers of all lines (what line feeds part) that hold more than white space of any kind."""
+    n = len(offs) - 1
+    feeds = np.flatnonzero(buf == 10)
+    row_of_feed = np.searchsorted(offs, feeds, side="right") - 1
+    some = np.flatnonzero(np.diff(offs) > 0)
+    start = np.concatenate([offs[:-1][some], feeds + 1])
+    row = np.concatenate([some, row_of_feed])
+    order = np.lexsort((start, row))
+    start, row = start[order], row[order]
+    if not len(start):
+        z = np.zeros(0, np.int64)
+        return z, z, z, z
+    same = np.append(row[1:] == row[:-1], False)
+    end = np.where(same, np.append(start[1:], 0) - 1, offs[row + 1])
+    first = np.searchsorted(row, np.arange(n))
+    no = np.arange(len(row)) - first[row]
+    solid = np.zeros(len(buf) + 1, np.int64)
+    np.cumsum(~_SPACES[buf], out=solid[1:])
+    plain = np.zeros(len(buf) + 1, np.int64)
+    np.cumsum(~_SPACES[buf] & (buf < 128), out=plain[1:])
+    keep = solid[end] > solid[start]
+    for i in np.flatnonzero(keep & (plain[end] == plain[start])):  # no ASCII sign: spaces of other kinds, perhaps
+        keep[i] = not buf[start[i] : end[i]].tobytes().decode("utf-8", "replace").isspace()
+    return start[keep], end[keep], row[keep], no[keep]
+
+
+def digests(raw: bytes, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """128 bits for each byte range: (lines, 2) signed 64-bit numbers."""
+    view = memoryview(raw)
+    return np.frombuffer(b"".join([xxhash.xxh3_128_digest(view[a:b]) for a, b in zip(start.tolist(), end.tolist())]), ">i8").astype(np.int64).reshape(-1, 2)
+
+
+def _strings(raw: bytes, start: np.ndarray, end: np.ndarray) -> pa.Array:
+    return pa.array([raw[a:b] for a, b in zip(start.tolist(), end.tolist())], pa.binary()).cast(pa.string(), safe=False)
 
 
 def shingle_hashes(arr: pa.Array, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all k-character windows of each lower-cased line, in order, and their rows; a shorter line is one window."""
-    raw, offs = text_buffer(arr)
-    buf = lower_bytes(raw)
-    if not len(buf):
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    lead = (buf & 0xC0) != 0x80
-    at = np.flatnonzero(lead)  # characters
-    row = np.repeat(np.arange(len(offs) - 1), np.diff(offs))[at]
-    bounds = np.append(at, len(buf))
-    stop = np.minimum(np.arange(len(at)) + k, len(at))
-    end = bounds[stop]
-    first = np.ones(len(row), bool)
-    first[1:] = row[1:] != row[:-1]
-    inside = end <= offs[row + 1]
-    inside &= np.arange(len(at)) + k <= len(at)
-    use = inside | (first & ~inside)
-    end = np.where(inside, end, offs[row + 1])
-    return Hasher(buf)(at[use], end[use]), row[use]
-
-
-def signatures(arr: pa.Array, bins: int = BINS, k: int = SHINGLE) -> np.ndarray:
-    """One-permutation MinHash: the least hash of each bin; an empty bin takes that of a fixed pseudorandom sequence of bins."""
-    h, row = shingle_hashes(arr, k)
+    """Hashes of all k-character windows of each lower-cased line, in order, and the n+1 offsets of the lines; a shorter line is one window."""
+    cps, offs = code_points(arr)
     n = len(arr)
-    sig = np.full(n * bins, _EMPTY, np.uint64)
-    np.minimum.at(sig, row * bins + (h >> np.uint64(64 - bins.bit_length() + 1)).astype(np.int64), h)
-    sig = sig.reshape(n, bins)
-    hole = np.argwhere(sig == _EMPTY)
-    some = (sig != _EMPTY).any(1)
-    hole = hole[some[hole[:, 0]]]
-    filled = sig.copy()
-    step = 0
-    while len(hole):
-        donor = (mix64((hole[:, 1] + 1 + step * 1009).astype(np.uint64)) % np.uint64(bins)).astype(np.int64)
-        value = sig[hole[:, 0], donor]
-        got = value != _EMPTY
-        filled[hole[got, 0], hole[got, 1]] = value[got]
-        hole = hole[~got]
-        step += 1
-    return filled
+    lens = np.diff(offs)
+    wide = np.zeros(len(cps) + n * (k - 1) + k, np.uint64)  # every line has room behind it for the windows of short lines
+    wide[np.arange(len(cps)) + np.repeat(np.arange(n) * (k - 1), lens)] = cps
+    h = wide[: len(wide) - k + 1] * _MIX[0]
+    for j in range(1, k):
+        h += wide[j : len(wide) - k + 1 + j] * _MIX[j]
+    count = np.where(lens > 0, np.maximum(lens - k + 1, 1), 0)
+    ends = np.zeros(n + 1, np.int64)
+    np.cumsum(count, out=ends[1:])
+    begin = offs[:-1] + np.arange(n) * (k - 1)
+    return mix64(h[np.arange(ends[-1]) + np.repeat(begin - ends[:-1], count)]), ends
+
+
+def signatures(arr: pa.Array) -> np.ndarray:
+    """``HASHES`` least values of each line's shingles, each under a permutation of its own; a line without any has ones."""
+    h, ends = shingle_hashes(arr)
+    sig = np.full((HASHES, len(arr)), 0xFFFFFFFF, np.uint32)
+    some = np.flatnonzero(np.diff(ends) > 0)
+    if len(some):
+        low = (h >> np.uint64(32)).astype(np.uint32)
+        start = ends[:-1][some]
+        for i in range(HASHES):
+            sig[i, some] = np.minimum.reduceat(low * _MULTIPLY[i], start)
+    return np.ascontiguousarray(sig.T)
 
 
 def band_keys(sig: np.ndarray, bands: int = BANDS) -> np.ndarray:
     """A 64-bit key for each band of each signature."""
-    n, bins = sig.shape
-    parts = sig.reshape(n, bands, bins // bands)
+    n, hashes = sig.shape
+    parts = sig.reshape(n, bands, hashes // bands).astype(np.uint64)
     key = np.repeat(np.arange(1, bands + 1, dtype=np.uint64)[None], n, 0)
     for j in range(parts.shape[2]):
         key = mix64(key * np.uint64(0x9E3779B97F4A7C15) + parts[:, :, j])
     return key
 
 
+# -- passes over the documents
+def _new_lines(batches: Iterator[pa.RecordBatch], max_bytes: int) -> Iterator[tuple[np.ndarray, pa.Array]]:
+    """Digests and texts of lines, each about once in a task."""
+    seen: set[int] = set()
+    for b in pieces(batches, "text", max_bytes):
+        buf, offs = text_buffer(b.column("text"))
+        start, end, _, _ = line_spans(buf, offs)
+        if not len(start):
+            continue
+        raw = buf.tobytes()
+        h = digests(raw, start, end)
+        if len(seen) > REMEMBERED:
+            seen = set()
+        use = []
+        for i, x in enumerate(h[:, 0].tolist()):
+            if x not in seen:
+                seen.add(x)
+                use.append(i)
+        if use:
+            yield h[use], _strings(raw, start[use], end[use])
+
+
 def _emit_bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in pieces(batches, "line", 2 << 20):
-        keys = band_keys(signatures(b.column("line")))
-        h = b.column("h").to_numpy(zero_copy_only=False)
-        yield pa.record_batch([pa.array(keys.view(np.int64).ravel()), pa.array(np.repeat(h, BANDS))], names=["band", "h"])
+    for h, lines in _new_lines(batches, 1 << 18):
+        keys = band_keys(signatures(lines))
+        yield pa.record_batch([pa.array(keys.view(np.int64).ravel()), pa.array(np.repeat(h[:, 0], BANDS))], names=["band", "h"])
+
+
+def _emit_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for h, lines in _new_lines(batches, 1 << 20):
+        yield pa.record_batch([pa.array(np.ascontiguousarray(h[:, 0])), pa.array(np.ascontiguousarray(h[:, 1])), lines], names=["h", "h2", "line"])
+
+
+def _emit_spots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in pieces(batches, "text", 1 << 20):
+        buf, offs = text_buffer(b.column("text"))
+        start, end, row, no = line_spans(buf, offs)
+        if not len(start):
+            continue
+        h = digests(buf.tobytes(), start, end)
+        row = pa.array(row)
+        yield pa.record_batch([b.column("id").take(row), b.column("tie").take(row), pa.array(no.astype(np.int32)), pa.array(np.ascontiguousarray(h[:, 0])), pa.array(np.ascontiguousarray(h[:, 1]))], names=["id", "tie", "no", "h", "h2"])
 
 
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Runs of whole bands from rows sorted by (band, h)."""
-    held: list[tuple[np.ndarray, np.ndarray]] = []
+# -- candidates and their comparison
+def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From (band, h), sorted: each further line of a band beside the band's first one. Nothing of a band is held but that."""
+    band_now, hub, last = None, 0, 0
     for b in batches:
         if not b.num_rows:
             continue
         band, h = (b.column(c).to_numpy(zero_copy_only=False) for c in ("band", "h"))
-        held.append((band, h))
-        if held[0][0][0] == band[-1]:
-            continue
-        band, h = (np.concatenate(x) for x in zip(*held))
-        last = int(np.searchsorted(band, band[-1], side="left"))
-        yield band[:last], h[:last]
-        held = [(band[last:], h[last:])]
-    if held:
-        yield tuple(np.concatenate(x) for x in zip(*held))  # type: ignore[misc]
-
-
-def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The distinct lines of every band key that has two or more."""
-    for band, h in _groups(batches):
         new = np.ones(len(h), bool)
-        new[1:] = (band[1:] != band[:-1]) | (h[1:] != h[:-1])
-        band, h = band[new], h[new]
-        start = np.flatnonzero(np.append(True, band[1:] != band[:-1]))
-        size = np.diff(np.append(start, len(band)))
-        keep = np.repeat(size > 1, size)
-        size = size[size > 1]
-        if len(size):
-            offs = np.zeros(len(size) + 1, np.int32)
-            np.cumsum(size, out=offs[1:])
-            yield pa.record_batch([pa.ListArray.from_arrays(pa.array(offs), pa.array(h[keep]))], names=["hs"])
-
-
-def _cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From lists of (root, h): the pairs of different roots and their bucket's first line, but for those with it, which were tried."""
-    for b in batches:
-        us: list[int] = []
-        vs: list[int] = []
-        hubs: list[int] = []
-        for rows in b.column(0).to_pylist():
-            hub = min(r["h"] for r in rows)
-            rows = [r for r in rows if r["h"] != hub]
-            for i, x in enumerate(rows):
-                for y in rows[:i]:
-                    if x["root"] != y["root"]:
-                        us.append(min(x["h"], y["h"]))
-                        vs.append(max(x["h"], y["h"]))
-                        hubs.append(hub)
-        if us:
-            yield pa.record_batch([pa.array(x, pa.int64()) for x in (us, vs, hubs)], names=["u", "v", "hub"])
-
-
-def _verify(threshold: float):
-    """Exact Jaccard of pairs; the shingle set of a line is made once for all its pairs in a task's reach."""
+        new[1:] = band[1:] != band[:-1]
+        if band_now is not None and band[0] == band_now:
+            new[0] = False
+        heads = np.flatnonzero(new)
+        hubs = np.empty(len(h), np.int64)
+        stop = np.append(heads, len(h))
+        hubs[: stop[0]] = hub
+        hubs[stop[0] :] = np.repeat(h[heads], np.diff(stop))
+        before = np.append(last, h[:-1])
+        use = ~new & (h != before)
+        band_now, hub, last = band[-1], int(hubs[-1]), int(h[-1])
+        if use.any():
+            yield pa.record_batch([pa.array(band[use]), pa.array(hubs[use]), pa.array(h[use])], names=["band", "hub", "h"])
+
+
+def _shingle_sets(lines: pa.Array) -> list[frozenset[int]]:
+    h, ends = shingle_hashes(lines)
+    values, cuts = h.tolist(), ends.tolist()
+    return [frozenset(values[a:b]) for a, b in zip(cuts[:-1], cuts[1:])]
+
+
+def _alike(x: frozenset[int], y: frozenset[int], threshold: float) -> bool:
+    a, b = len(x), len(y)
+    if min(a, b) < threshold * max(a, b):
+        return False
+    both = len(x & y)
+    return both >= threshold * max(1, a + b - both)
+
+
+def _verify_stars(threshold: float):
+    """Exact Jaccard of each pair; the rows are sorted by u, whose shingles are made once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets: dict[int, frozenset[int]] = {}
-        size = 0
+        now, own = None, frozenset()
         for whole in batches:
-            for b in pieces(iter([whole]), "tv", 1 << 20):
-                if size > MAX_HELD:
-                    sets, size = {}, 0
-                us, vs = b.column("u").to_pylist(), b.column("v").to_pylist()
-                for ids, name in ((us, "tu"), (vs, "tv")):
-                    new = {h: i for i, h in enumerate(ids) if h not in sets}
-                    h, row = shingle_hashes(b.column(name).take(pa.array(list(new.values()), pa.int64())))
-                    cuts = np.searchsorted(row, np.arange(len(new) + 1)).tolist()
-                    values = h.tolist()
-                    for k, line in enumerate(new):
-                        sets[line] = frozenset(values[cuts[k] : cuts[k + 1]])
-                    size += len(values)
+            for b in pieces(iter([whole]), "tv", 1 << 19):
+                sets = _shingle_sets(b.column("tv"))
+                u = b.column("u").to_pylist()
+                heads = [i for i, x in enumerate(u) if x != (u[i - 1] if i else now)]
+                fresh = dict(zip(heads, _shingle_sets(b.column("tu").take(pa.array(heads, pa.int64())))))
                 near = []
-                for u, v in zip(us, vs):
-                    x, y = sets[u], sets[v]
-                    both = len(x & y) if min(len(x), len(y)) >= threshold * max(len(x), len(y)) else 0
-                    near.append(both >= threshold * max(1, len(x) + len(y) - both))
+                for i, y in enumerate(sets):
+                    own = fresh.get(i, own)
+                    near.append(_alike(own, y, threshold))
+                now = u[-1]
                 yield pa.record_batch([b.column("u"), b.column("v")], names=["u", "v"]).filter(pa.array(near, pa.bool_()))
 
     return run
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """A written table, broadcast if it has few rows."""
-    return F.broadcast(df) if df.count() <= BROADCAST_KEYS else df
+def joined_within(sets: list[frozenset[int]], roots: list[int], threshold: float) -> list[tuple[int, int]]:
+    """Links that join the lines of one cell, whose components are given, as all similar pairs would.
 
+    A prefix filter: of two sets with an index of ``threshold``, the rarest few of both have one in common. Pairs within a component
+    are left out, also within one that has just been made.
+    """
+    count: dict[int, int] = {}
+    for s in sets:
+        for x in s:
+            count[x] = count.get(x, 0) + 1
+    parent: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while parent.get(x, x) != x:
+            parent[x] = parent.get(parent[x], parent[x])
+            x = parent[x]
+        return x
+
+    index: dict[int, list[int]] = {}
+    out = []
+    for i, s in enumerate(sets):
+        prefix = sorted((count[x], x) for x in s)[: len(s) - math.ceil(threshold * len(s)) + 1]
+        tried: set[int] = set()
+        for _, x in prefix:
+            for j in index.get(x, ()):
+                if j not in tried and find(roots[i]) != find(roots[j]):
+                    tried.add(j)
+                    if _alike(s, sets[j], threshold):
+                        parent[find(roots[i])] = find(roots[j])
+                        out.append((i, j))
+            index.setdefault(x, []).append(i)
+    return out
+
+
+def _verify_cells(threshold: float):
+    """Links across components within each (band, block, block), whose rows come together; one cell is held at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+
+        def flush(rows: list[tuple[int, int, str]]) -> Iterator[pa.RecordBatch]:
+            if len({r[1] for r in rows}) < 2:
+                return
+            links = joined_within(_shingle_sets(pa.array([r[2] for r in rows], pa.string())), [r[1] for r in rows], threshold)
+            if links:
+                yield pa.record_batch([pa.array([rows[i][0] for i, _ in links], pa.int64()), pa.array([rows[j][0] for _, j in links], pa.int64())], names=["u", "v"])
+
+        for b in batches:
+            for key, row in zip(zip(*(b.column(c).to_pylist() for c in ("band", "lo", "hi"))), zip(*(b.column(c).to_pylist() for c in ("h", "root", "line")))):
+                if key != now:
+                    yield from flush(held)
+                    now, held = key, []
+                held.append(row)
+        yield from flush(held)
 
-def _lines(docs: DataFrame) -> DataFrame:
-    rows = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tie"), F.posexplode(F.split("text", "\n")).alias("no", "line"))
-    return rows.where(F.trim("line") != "").withColumn("h", F.xxhash64("line"))
+    return run
 
 
-def line_components(docs: DataFrame, threshold: float = JACCARD) -> DataFrame:
-    """``(h, root)`` for lines, by the hash of their text, that are joined to others by similar text.
+def line_components(docs: DataFrame, threshold: float = JACCARD, block: int = BLOCK_LINES) -> DataFrame:
+    """``(h, h2, root)`` for lines, by the 128 bits of their text, that are joined to others by similar text; ``root`` is the ``h`` of one of them.
 
-    Two passes over the candidates find the components of all pairs under a common band key without looking at all
-    pairs: first each line against the first of its bucket, then, in buckets that hold different
-    components still, every pair across them.
+    Two passes over the candidates find the components of all similar pairs under a common band key without looking at all
+    pairs: first each line against the first of its band key; then, under keys that hold different components still, lines of different
+    components, through their rarest shingles, in blocks of ``block`` lines.
     """
-    bands = _lines(docs).select("h", "line").mapInArrow(tidy(_emit_bands), "band long, h long")
-    sorted_bands = bands.repartition("band").sortWithinPartitions("band", "h")
-    buckets = written(sorted_bands.mapInArrow(tidy(_buckets), "hs array<long>").distinct())
-    stars = buckets.select(F.array_min("hs").alias("u"), F.explode("hs").alias("v")).where("u <> v").distinct()
-    keys = written(buckets.select(F.explode("hs").alias("h")).distinct())
-    texts = written(_lines(docs).select("h", "line").join(_small(keys), "h", "left_semi").groupBy("h").agg(F.first("line").alias("line")))
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        one = pairs.join(texts.select(F.col("h").alias("v"), F.col("line").alias("tv")), "v")
-        two = one.join(texts.select(F.col("h").alias("u"), F.col("line").alias("tu")), "u")
-        if "hub" in pairs.columns:  # pairs of one bucket share their lines
-            two = two.repartition("hub").sortWithinPartitions("hub", "u")
-        return two.select("u", "v", "tu", "tv").mapInArrow(tidy(_verify(threshold)), "u long, v long")
-
-    edges = written(verified(stars))
-    found = written(components(edges))
-    many = buckets.where(F.size("hs") > 2).withColumn("b", F.monotonically_increasing_id()).select("b", F.explode("hs").alias("h"))
-    lists = many.join(found.select(F.col("node").alias("h"), "root"), "h", "left").select("b", F.struct(F.coalesce("root", "h").alias("root"), "h").alias("x"))
-    lists = lists.groupBy("b").agg(F.collect_list("x").alias("rows"), F.min("x.root").alias("lo"), F.max("x.root").alias("hi")).where("lo <> hi")
-    more = written(verified(lists.select("rows").mapInArrow(tidy(_cross), "u long, v long, hub long").groupBy("u", "v").agg(F.min("hub").alias("hub"))))
+    bands = docs.select("text").where("text is not null").mapInArrow(tidy(_emit_bands), "band long, h long")
+    members = written(bands.repartition("band").sortWithinPartitions("band", "h").mapInArrow(tidy(_stars), "band long, hub long, h long"))
+    keys = written(members.select("h").union(members.select("hub").distinct()).distinct())
+    lines = docs.select("text").where("text is not null").mapInArrow(tidy(_emit_texts), "h long, h2 long, line string")
+    # of lines of equal h (one pair in 2**64) the one of least h2 takes part
+    texts = written(lines.join(small(keys), "h", "left_semi").groupBy("h").agg(F.min(F.struct("h2", "line")).alias("x")).select("h", "x.h2", "x.line"))
+    stars = members.select(F.col("hub").alias("u"), F.col("h").alias("v")).distinct()
+    one = stars.join(texts.select(F.col("h").alias("v"), F.col("line").alias("tv")), "v")
+    two = one.join(texts.select(F.col("h").alias("u"), F.col("line").alias("tu")), "u").sortWithinPartitions("u")
+    edges = written(two.select("u", "v", "tu", "tv").mapInArrow(tidy(_verify_stars(threshold)), "u long, v long"))
+    found = components(edges)
+    rooted = members.join(small(found.withColumnRenamed("node", "h")), "h", "left").select("band", "h", F.coalesce("root", "h").alias("root"))
+    open_bands = rooted.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
+    blocks = F.ceil(F.col("n") / block).cast("int")
+    cells = rooted.join(open_bands.select("band", blocks.alias("blocks")), "band").withColumn("own", F.pmod("h", "blocks").cast("int"))
+    cells = cells.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cells = cells.select("band", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "h", "root").join(texts.select("h", "line"), "h")
+    cells = cells.repartition("band", "lo", "hi").sortWithinPartitions("band", "lo", "hi", "h")
+    more = written(cells.select("band", "lo", "hi", "h", "root", "line").mapInArrow(tidy(_verify_cells(threshold)), "u long, v long"))
     if more.limit(1).count():
-        again = written(components(edges.union(more)))
+        again = components(edges.union(more))
         release(found)
         found = again
-    for t in (buckets, keys, texts, edges, more):
+    out = written(found.withColumnRenamed("node", "h").join(texts.select("h", "h2"), "h").select("h", "h2", "root"))
+    for t in (members, keys, texts, edges, more, found):
         release(t)
-    return found.select(F.col("node").alias("h"), "root")
+    return out
 
 
 def dedup_lines(docs: DataFrame, threshold: float = JACCARD) -> DataFrame:
     """The documents without the lines that repeat an earlier one: ``docs``' columns, ``text`` rewritten.
 
-    Lines are what line feeds part; blank ones stay and never match. Two lines are similar if the
-    Jaccard index of their sets of lower-cased 5-character shingles (a shorter line is one) is ``threshold`` or more; similar lines
-    form components, of which the occurrence of least (doc_id, hash of the text, line number) stays. Pairs
-    are found by 8 bands of 4 values of a 32-bin one-permutation MinHash (98.5 % at an index of 0.8, 99.9 %
-    at 0.9) and verified on the whole lines.
+    Lines are what line feeds part; those of white space alone (of any kind, so also a carriage return or a tab) stay and never match.
+    Lines of equal 128 bits are equal. Two lines are similar if the Jaccard index of their sets of lower-cased 5-character shingles (a
+    shorter line is one; lower case is by single code points) is ``threshold`` or more; similar lines form components, of which
+    the occurrence of least (doc_id, hash of the text, line number) stays. Pairs are found by 8 bands of 4 of 32 MinHash
+    values (98.5 % at an index of 0.8, 99.9 % at 0.9) and verified on the whole lines.
 
     A document that loses all its lines stays with an empty text. Null text stays null. Rows of equal id
     and text are one document that occurs twice: they keep the same lines. Null ids are kept and count as least. ``n_chars``, if there, is counted anew.
     """
     found = line_components(docs, threshold)
-    lines = _lines(docs).select("h", "doc_id", "tie", "no").join(_small(found), "h", "left")
-    spots = written(lines.select(F.coalesce("root", "h").alias("root"), F.coalesce("doc_id", F.lit(-(2**63))).alias("id"), "tie", "no"))
+    ids = docs.where("text is not null").select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("id"), F.xxhash64("text").alias("tie"), "text")
+    lines = ids.mapInArrow(tidy(_emit_spots), "id long, tie long, no int, h long, h2 long")
+    # a line's group: that of its component, or else its own 128 bits
+    lines = lines.join(small(found), ["h", "h2"], "left").select(F.coalesce("root", "h").alias("g"), F.when(F.col("root").isNull(), F.col("h2")).alias("g2"), "id", "tie", "no")
+    spots = written(lines.withColumn("g2", F.coalesce("g2", F.lit(0))))
     place = F.struct("id", "tie", "no")
-    first = spots.groupBy("root").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last")
-    drop = spots.join(first.select("root", "first"), "root").where(F.struct("id", "tie", "no") != F.col("first"))
-    drop = drop.groupBy("id", "tie").agg(F.collect_set("no").alias("__gone"))
+    first = spots.groupBy("g", "g2").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last")
+    drop = spots.join(first.select("g", "g2", "first"), ["g", "g2"]).where(F.struct("id", "tie", "no") != F.col("first"))
+    drop = written(drop.groupBy("id", "tie").agg(F.collect_set("no").alias("__gone")))
+    release(spots)
     cols = docs.columns
     keyed = docs.withColumn("__id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))).withColumn("__tie", F.xxhash64("text"))
     out = keyed.join(drop.select(F.col("id").alias("__id"), F.col("tie").alias("__tie"), "__gone"), ["__id", "__tie"], "left")

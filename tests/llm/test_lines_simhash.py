@@ -5,7 +5,7 @@ import pyarrow as pa
 
 from fundstelle.llm import linededup
 from fundstelle.llm.linededup import dedup_lines, line_components
-from fundstelle.llm.simhash import COSINE, THRESHOLD, bucket_links, cosines, keep_one_of_each, near_duplicates, ring_filter, segment_differences, simhash_codes
+from fundstelle.llm.simhash import COSINE, THRESHOLD, bucket_links, cosines, keep_one_of_each, near_duplicates, ring_filter, segment_differences, settle, simhash_codes
 
 WORDS = ["".join(random.Random(i).choices("abcdefghijklmnopqrstuvwxyz", k=3 + i % 7)) for i in range(3000)]
 
@@ -86,30 +86,29 @@ def test_ring_filter_never_drops_a_near_pair():
 
 
 def _bag(text):
-    """Words, other signs, and pairs of neighbours in scripts without spaces, the plain way."""
+    """Weights of pairs of neighbouring words, other signs, and pairs of characters in scripts without spaces, the plain way."""
     import collections
+    import math
     import re
 
     found = re.findall(r"[\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff]+|(?:(?![\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff])[^\W_])+|[^\w\s]|_", text.lower())
-    out = collections.Counter()
+    flat = [""]
     for x in found:
-        if re.match(r"[\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff]", x):
-            out.update(x[i : i + 2] for i in range(len(x)))
-        else:
-            out[x] += 1
-    return out
+        flat += [x[i : i + 2] for i in range(len(x))] if re.match(r"[\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff]", x) else [x]
+    return {k: 1 + math.log2(c) / 2 for k, c in collections.Counter(zip(flat, flat[1:])).items()}
 
 
 def _cosine(a, b):
     x, y = _bag(a), _bag(b)
-    return sum((x[k] * y[k]) ** 0.5 for k in x) / max(1e-9, (sum(x.values()) * sum(y.values())) ** 0.5)
+    norm = (sum(w * w for w in x.values()) * sum(w * w for w in y.values())) ** 0.5
+    return sum(x[k] * y.get(k, 0) for k in x) / norm if norm else 0.0
 
 
 def test_cosines_equal_the_plain_form():
     texts = ["Der Hund, der bellt; der_Hund.", "漢字かな ab 漢字", "x=1+2\ny=1-2", "ÄÖ äö Ωω Жж", "", "a a a b"]
     pairs = [(a, b) for a in texts for b in texts]
     got = cosines(pa.array([a for a, _ in pairs]), pa.array([b for _, b in pairs]))
-    assert np.allclose(got, [_cosine(a, b) if a and b else 0 for a, b in pairs])
+    assert np.allclose(got, [_cosine(a, b) for a, b in pairs])
 
 
 def test_near_duplicates_equal_brute_force(spark, odd, none):
@@ -120,16 +119,16 @@ def test_near_duplicates_equal_brute_force(spark, odd, none):
     near = lambda a, b: int(segment_differences(codes[a : a + 1].copy(), codes[b : b + 1].copy()).sum()) <= THRESHOLD and _cosine(docs[a][1], docs[b][1]) >= COSINE
     df = spark.createDataFrame(docs, "doc_id long, text string")
     got = {r.doc_id: r.duplicate_of for r in near_duplicates(df).collect()}
-    assert all(r < i and r not in got and _cosine(docs[i][1], docs[r][1]) >= COSINE for i, r in got.items())
+    assert all(r not in got and _cosine(docs[i][1], docs[r][1]) >= COSINE for i, r in got.items())
     kept = [i for i in range(len(docs)) if i not in got]
     assert not [(i, j) for i in kept for j in kept if j < i and near(i, j)]  # the kept ones are all different
-    assert len(got) >= 0.95 * 110 and all(i in got for i in range(150, 160))  # exact copies
+    assert len(got) >= 0.95 * 110 and not set(got) & set(range(160, 220)) and all(i in got for i in range(150, 160))  # exact copies
     assert keep_one_of_each(df).count() == len(docs) - len(got)
     rest = keep_one_of_each(odd)
     assert rest.columns == odd.columns and rest.count() == odd.count()
     assert near_duplicates(none).count() == 0
     same = spark.createDataFrame([(5, "alpha beta gamma delta"), (3, "alpha beta gamma delta"), (4, "Alpha beta GAMMA delta")], "doc_id long, text string")
-    assert sorted(map(tuple, near_duplicates(same).collect())) == [(4, 3), (5, 3)]
+    assert sorted(map(tuple, near_duplicates(same).collect())) in ([(4, 3), (5, 3)], [(3, 4), (5, 4)])
 
 
 def test_texts_that_share_long_words_or_letters_alone_stay(spark):
@@ -138,6 +137,7 @@ def test_texts_that_share_long_words_or_letters_alone_stay(spark):
     numbers = [" ".join(f"{rng.randint(0, 999)}" for _ in range(200)) for _ in range(2)]
     code = ["a = b + c * d ; " * 20, "a ( b ) [ c ] { d } " * 20]
     texts = ["Regierung " + " ".join(short[:300]), "Regierung " + " ".join(short[300:]), "Tabelle Nummern " + numbers[0], "Tabelle Nummern " + numbers[1], *code]
+    texts += [f"{'!! '.join(rng.sample(WORDS, 60)).upper()}!!" for _ in range(20)]
     assert near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).count() == 0
 
 
@@ -147,8 +147,18 @@ def test_a_chain_goes_only_as_far_as_texts_are_near(spark):
     for _ in range(12):
         chain.append(_edited(rng, chain[-1], 0.06))
     got = {r.doc_id: r.duplicate_of for r in near_duplicates(spark.createDataFrame(list(enumerate(chain)), "doc_id long, text string")).collect()}
-    assert got and all(r not in got and _cosine(chain[i], chain[r]) >= COSINE for i, r in got.items()) and 12 not in [r for r in got.values()]
-    assert len(set(range(13)) - set(got)) >= 3
+    assert got and all(r not in got and _cosine(chain[i], chain[r]) >= COSINE for i, r in got.items())
+    assert 3 <= len(set(range(13)) - set(got)) <= 7
+
+
+def test_rounds_and_one_task_settle_alike(spark):
+    rng = np.random.default_rng(21)
+    pairs = {(int(min(a, b)), int(max(a, b))) for a, b in rng.integers(0, 120, (260, 2)) if a != b} | {(200 + i, 201 + i) for i in range(40)} | {(300, 301 + i) for i in range(50)}
+    links = spark.createDataFrame(sorted(pairs), "u long, v long")
+    here = dict(map(tuple, settle(links).collect()))
+    assert here == dict(map(tuple, settle(links, 0).collect()))
+    assert all(tuple(sorted(x)) in pairs and x[1] not in here for x in here.items())
+    assert not [p for p in pairs if p[0] not in here and p[1] not in here]
 
 
 def test_bucket_links_connect_what_all_pairs_would():

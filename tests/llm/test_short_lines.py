@@ -1,6 +1,6 @@
 import random
 
-from fundstelle.llm.linededup import dedup_lines
+from fundstelle.llm.linededup import dedup_lines, joined_within
 
 WORDS = ["".join(random.Random(i).choices("abcdefghijklmnopqrstuvwxyz", k=3 + i % 7)) for i in range(3000)]
 
@@ -25,3 +25,56 @@ def test_short_lines_with_one_character_or_word_replaced_are_joined(spark):
         print(f"one {kind} replaced: {joined:.3f} joined")
         assert joined >= 0.9
         assert all(out[2 * i] == made[i][0] for i in range(len(made)))
+
+
+def test_lines_of_any_white_space_stay(spark):
+    rows = [(1, "erste Zeile\r\n\r\nzweite Zeile\r\n \t\r\n　 \n"), (2, "vierte Zeile\r\n\r\nfünfte Zeile\r\n　 \n \t\r\nzweite Zeile\r\n")]
+    out = {r.doc_id: r.text for r in dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out == {1: rows[0][1], 2: "vierte Zeile\r\n\r\nfünfte Zeile\r\n　 \n \t\r\n"}
+
+
+def test_lower_case_of_other_scripts(spark):
+    rows = [(1, "Он вернулся домой поздно вечером, когда все спали"), (2, "ОН ВЕРНУЛСЯ ДОМОЙ ПОЗДНО ВЕЧЕРОМ, КОГДА ВСЕ СПАЛИ")]
+    assert {r.doc_id: r.text for r in dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == {1: rows[0][1], 2: ""}
+
+
+def test_many_variants_of_one_line_are_one_component(spark):
+    rng = random.Random(3)
+    lead = "Sehr geehrte Damen und Herren, wir bestätigen Ihnen hiermit den Eingang der Bestellung mit der Nummer "
+    lines = sorted({f"{lead}{rng.randint(100000, 999999)} vom {rng.randint(1, 28)}. Mai" for _ in range(20_000)})
+    rng.shuffle(lines)
+    docs = spark.createDataFrame([(i, "\n".join(lines[i * 100 : i * 100 + 100])) for i in range(len(lines) // 100)], "doc_id long, text string")
+    left = [x for r in dedup_lines(docs).collect() for x in r.text.split("\n") if x]
+    assert left == [lines[0]]
+
+
+def _groups(items, near):
+    root = list(range(len(items)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in items:
+        for j in range(i):
+            if near(i, j):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    return [find(i) for i in items]
+
+
+def test_rare_shingles_find_all_that_all_pairs_do():
+    rng = random.Random(8)
+    sets, roots = [], []
+    for c in range(6):
+        base = [rng.randrange(10**6) for _ in range(40)]
+        for _ in range(12):
+            sets.append(frozenset(x if rng.random() > 0.08 else rng.randrange(10**6) for x in base))
+            roots.append(len(roots))
+    for t in (0.5, 0.8, 0.9):
+        links = joined_within(sets, roots, t)
+        full = [(i, j) for i in range(len(sets)) for j in range(i) if len(sets[i] & sets[j]) >= t * len(sets[i] | sets[j])]
+        assert {frozenset(x) for x in links} <= {frozenset(x) for x in full} and len(links) < len(sets)
+        group = lambda edges: _groups(list(range(len(sets))), lambda a, b: (a, b) in edges or (b, a) in edges)
+        assert group(set(links)) == group(set(full))
