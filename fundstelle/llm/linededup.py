@@ -229,19 +229,28 @@ def joined_within(sets: list[frozenset[int]], roots: list[int], threshold: float
             x = parent[x]
         return x
 
-    index: dict[int, list[int]] = {}
+    index: dict[int, dict[int, list[int]]] = {}  # lines by rare shingle and component
     out = []
     for i, s in enumerate(sets):
         prefix = sorted((count[x], x) for x in s)[: len(s) - math.ceil(threshold * len(s)) + 1]
         tried: set[int] = set()
         for _, x in prefix:
-            for j in index.get(x, ()):
-                if j not in tried and find(roots[i]) != find(roots[j]):
-                    tried.add(j)
-                    if _alike(s, sets[j], threshold):
-                        parent[find(roots[i])] = find(roots[j])
-                        out.append((i, j))
-            index.setdefault(x, []).append(i)
+            held: dict[int, list[int]] = {}
+            for r, js in index.get(x, {}).items():
+                r = find(r)
+                held[r] = js if r not in held else held[r] + js
+            for r, js in held.items():
+                if find(r) == find(roots[i]):
+                    continue
+                for j in js:
+                    if j not in tried:
+                        tried.add(j)
+                        if _alike(s, sets[j], threshold):
+                            parent[find(roots[i])] = find(r)
+                            out.append((i, j))
+                            break
+            held.setdefault(find(roots[i]), []).append(i)
+            index[x] = held
     return out
 
 
