@@ -168,7 +168,7 @@ def _identify(arr: pa.Array, model: LanguageModel, penalty: float) -> list[pa.Ar
             ok[L:] = [x == sid for x in extra]
             if ok.any() and not ok.all():
                 states[np.ix_(script == sid, ~ok)] = FORBIDDEN
-    if extra and len(s):  # words without letters favour nobody
+    if len(s):  # words without letters favour nobody; so states that other documents bring in change nothing here
         states[script == 0, :] = 0
     count = np.bincount(row, minlength=n) if len(s) else np.zeros(n, np.int64)
     first = np.zeros(n, np.int64)
@@ -237,7 +237,8 @@ def identify_languages(docs: DataFrame, model: LanguageModel | None = None, pena
     each change costs ``penalty``.
 
     Returns ``(doc_id, label, share, accepted, mixed, spans)`` for every row: the language of most bytes of
-    words and its share, and spans of code-point offsets. A document is rejected if it has no letters
+    words and its share, and spans of code-point offsets; words without letters go with their neighbours, and a row's
+    result doesn't depend on the rows beside it. A document is rejected if it has no letters
     (null, empty, only digits and signs: label null, share 0) or if its words fit their language worse
     than trigrams drawn at random. Rows repeat as they do in the input; without any labelled row
     all Latin text is "und".

@@ -15,12 +15,26 @@ from .common import DOC_COLUMNS, documents, mix64, pieces, text_buffer, tidy, wo
 
 BLOCK_TOKENS = 1024
 BLOCKS_PER_SHARD = 256
+#: Longest token: text without white space is cut to pieces of so many bytes, about what BPE makes of it.
+TOKEN_BYTES = 16
 TEMPERATURE = 0.5
 DOCS_PER_BUCKET = 4096
 SEED = 17
 JOINT = "\n\n"
 
 
+def token_spans(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each token begins, and its row: runs between white space, in pieces of ``TOKEN_BYTES`` bytes at most, of whole characters."""
+    s, e, row = word_spans(buf, offs)
+    count = -(-(e - s) // TOKEN_BYTES)
+    if len(s) and count.max() > 1:
+        nth = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        s, row = np.repeat(s, count) + nth * TOKEN_BYTES, np.repeat(row, count)
+        for _ in range(3):  # back to a character's first byte
+            s = s - ((buf[s] & 0xC0) == 0x80)
+    return s, row
+
+
 def permuted(index: np.ndarray, size: np.ndarray, key: np.ndarray) -> np.ndarray:
     """Where each ``index`` below ``size`` goes under the pseudorandom permutation of its ``key``.
 
@@ -55,7 +69,7 @@ def source_key(sources: list[str], epoch: np.ndarray, seed: int) -> np.ndarray:
 
 def _count_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in pieces(batches, "text", 2 << 20):
-        _, _, row = word_spans(*text_buffer(b.column("text")))
+        _, row = token_spans(*text_buffer(b.column("text")))
         n = np.bincount(row, minlength=b.num_rows) if len(row) else np.zeros(b.num_rows, np.int64)
         yield pa.record_batch([b.column("src"), b.column("bucket"), pa.array(n.astype(np.int64))], names=["src", "bucket", "n"])
 
@@ -67,7 +81,7 @@ def _cut(block_tokens: int):
         now, at = None, 0
         for b in pieces(batches, "text", 2 << 20):
             buf, offs = text_buffer(b.column("text"))
-            s, _, row = word_spans(buf, offs)
+            s, row = token_spans(buf, offs)
             cuts = np.searchsorted(row, np.arange(b.num_rows + 1))
             # a token runs to the start of the next one, so the white space between stays
             stop = np.append(s[1:], 0)
@@ -129,8 +143,8 @@ def mix_sources(
 ) -> DataFrame:
     """Fixed-length blocks drawn from the sources by weight: ``(shard, slot, source, block, n_tokens, lang, text)``.
 
-    Each source's documents, in a pseudorandom but fixed order, form one stream of white-space separated
-    tokens, cut to blocks of ``block_tokens``; a source's last block may be shorter. As many blocks as
+    Each source's documents, in a pseudorandom but fixed order, form one stream of tokens (runs between white space, in
+    pieces of 16 bytes at most, so that text without white space is counted and cut by its length), cut to blocks of ``block_tokens``; a source's last block may be shorter. As many blocks as
     there are go out, ``blocks_per_shard`` to a shard. A shard's counts by source are one multinomial
     draw with the target weights (by default tokens ** temperature; sources without a weight or with 0 are left out);
     the nth use of a source takes block perm(nth) of its own permutation, which is drawn anew whenever

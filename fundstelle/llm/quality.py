@@ -2,19 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import hashlib
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, documents, mix64, pieces, text_buffer, tidy
+from .common import bounded_sample, documents, pieces, release, summed, text_buffer, tidy, written
 
-#: The fit reads so many labelled documents of each class, and so many without a label, at most.
+#: The fit reads so many labelled documents of each class at most.
 TRAIN_DOCS_PER_CLASS = 1500
-UNLABELLED_DOCS = 3000
 HELD_OUT_SHARE = 0.25
 ROUNDS = 3
 ADDED_PER_ROUND = 300
@@ -54,7 +55,7 @@ def metadata_features(source: list, lang: list, n_chars: list, lines: np.ndarray
     n = len(source)
     out = np.zeros((n, META_DIMS), np.float32)
     for base, values in ((0, source), (HASHED, lang)):
-        slot = {v: int(mix64(np.array([int.from_bytes((v or "\0").encode()[:64], "little") % (2**61 - 1)], np.uint64))[0] % np.uint64(HASHED)) for v in set(values)}
+        slot = {v: HASHED - 1 if v is None else int.from_bytes(hashlib.blake2b(v.encode(), digest_size=8).digest(), "little") % (HASHED - 1) for v in set(values)}
         out[np.arange(n), [base + slot[v] for v in values]] = 1
     size = np.array([np.nan if v is None else v for v in n_chars], np.float64)
     known = ~np.isnan(size)
@@ -107,37 +108,34 @@ class QualityModel:
     added: list[int] = field(default_factory=list)  # pseudo-labels taken over in each round
 
 
-def co_train(counts: np.ndarray, xm: np.ndarray, y: np.ndarray, held: np.ndarray, rounds: int = ROUNDS, per_round: int = ADDED_PER_ROUND, confidence: float = CONFIDENCE, totals: tuple[int, int] | None = None) -> QualityModel:
-    """Fit both views; ``y`` is 0, 1 or -1 (unlabelled), and the rows of ``held`` calibrate and are never trained on.
+def co_train(xt: np.ndarray, xm: np.ndarray, y: np.ndarray, held: np.ndarray, mean: np.ndarray, pool: Callable, rounds: int = ROUNDS, per_round: int = ADDED_PER_ROUND, confidence: float = CONFIDENCE, totals: tuple[int, int] | None = None) -> QualityModel:
+    """Fit both views on labelled rows; ``y`` is 0 or 1, and the rows of ``held`` calibrate and are never trained on.
 
-    In each round either view gives the other the unlabelled documents that it is surest of,
+    In each round either view gives the other the unlabelled documents of ``pool`` that it is surest of,
     ``per_round`` at most and in the classes' proportion, if their calibrated probability is ``confidence`` or more; they count half a label.
+    ``pool(fitted, quotas, confidence, given)`` returns, for either view and label, the ids and both views' features of those.
     ``totals`` has the bad and the good documents of the whole table, of which the labelled rows are a sample by class:
     calibration, prior and the classes' proportion are the table's.
     """
-    known = (y >= 0) & ~held
-    mean = (counts.sum(0) + 1) / (counts.sum() + counts.shape[1])
-    xt = text_features(counts, mean)
-    pool = np.flatnonzero(y < 0)
     balance = lambda t, w: w * np.where(t == 1, 0.5 / max(1e-9, (w * (t == 1)).sum()), 0.5 / max(1e-9, (w * (t == 0)).sum())) * w.sum()
-    base = np.flatnonzero(known)
+    base, cal = np.flatnonzero(~held), np.flatnonzero(held)
     views = [xt, xm]
-    extra: list[dict[int, int]] = [{}, {}]
+    extra: list[dict[int, tuple[int, np.ndarray]]] = [{}, {}]
     sampled = np.array([(y == 0).sum(), (y == 1).sum()], np.float64)
     real = sampled if totals is None else np.asarray(totals, np.float64)
     stands = real / np.maximum(sampled, 1)  # documents of the table for each labelled row
     stands *= sampled.sum() / max(1e-9, (stands * sampled).sum())
     weighed = lambda rows: float(np.average(y[rows], weights=stands[y[rows]]))
     share = weighed(base) if len(base) else 0.5
+    quotas = {1: round(per_round * share), 0: round(per_round * (1 - share))}
     added = []
 
     def fit(v: int) -> tuple[np.ndarray, np.ndarray]:
-        more = np.array(sorted(extra[v]), np.int64)
-        rows = np.concatenate([base, more])
-        target = np.concatenate([y[base], [extra[v][int(i)] for i in more]]).astype(np.float64)
+        more = [extra[v][i] for i in sorted(extra[v])]
+        x = np.vstack([views[v][base], *[r[None] for _, r in more]])
+        target = np.concatenate([y[base], [label for label, _ in more]]).astype(np.float64)
         weight = np.concatenate([np.ones(len(base)), np.full(len(more), 0.5)])
-        w = fit_logistic(views[v][rows], target, balance(target, weight))
-        cal = np.flatnonzero(held & (y >= 0))
+        w = fit_logistic(x, target, balance(target, weight))
         if len(np.unique(y[cal])) < 2:
             return w, np.array([1.0, 0.0])
         return w, fit_logistic(logits(views[v][cal], w)[:, None], y[cal].astype(np.float64), stands[y[cal]], ridge=1e-3)
@@ -145,21 +143,14 @@ def co_train(counts: np.ndarray, xm: np.ndarray, y: np.ndarray, held: np.ndarray
     fitted = [fit(0), fit(1)]
     for _ in range(rounds):
         count = 0
-        for v in (0, 1):
-            w, platt = fitted[v]
-            left = np.array([i for i in pool if i not in extra[1 - v]], np.int64)
-            if not len(left):
-                continue
-            p = sigmoid(logits(views[v][left], w) * platt[0] + platt[1])
-            for label, quota, order in ((1, round(per_round * share), np.argsort(-p, kind="stable")), (0, round(per_round * (1 - share)), np.argsort(p, kind="stable"))):
-                sure = [i for i in order[:quota] if (p[i] >= confidence if label else p[i] <= 1 - confidence)]
-                extra[1 - v].update({int(left[i]): label for i in sure})
-                count += len(sure)
+        for (v, label), rows in pool(fitted, quotas, confidence, [sorted(extra[1]), sorted(extra[0])]).items():
+            for i, own in rows:
+                extra[1 - v][i] = (label, own[1 - v])
+            count += len(rows)
         added.append(count)
         if not count:
             break
         fitted = [fit(0), fit(1)]
-    cal = np.flatnonzero(held & (y >= 0))
     prior = float(np.clip(weighed(cal), 0.01, 0.99)) if len(cal) else share
     return QualityModel(fitted[0][0].astype(np.float32), fitted[1][0].astype(np.float32), (fitted[0][1], fitted[1][1]), float(np.log(prior / (1 - prior))), mean.astype(np.float32), added)
 
@@ -168,33 +159,86 @@ def _meta_of(b: pa.RecordBatch) -> np.ndarray:
     return metadata_features(b.column("source").to_pylist(), b.column("lang").to_pylist(), b.column("n_chars").to_pylist(), _lines(b.column("text")))
 
 
-def training_set(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, tuple[int, int]]:
-    """Trigram counts, metadata features, labels (-1: none) and the held-out rows of a bounded sample, and the whole table's bad and good documents."""
-    one = labels.where("doc_id is not null and quality in (0, 1)").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").cast("int").alias("quality"))
-    ids = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"))
-    marked = ids.join(one, "doc_id", "left").select("doc_id", F.coalesce("quality", F.lit(-1)).alias("y"))
-    count = {r[0]: r[1] for r in marked.where("y >= 0").groupBy("y").agg(F.countDistinct("doc_id")).collect()}
-    totals = (count.get(0, 0), count.get(1, 0))
-    picked = bounded_sample(marked, "y", "doc_id", max(TRAIN_DOCS_PER_CLASS, UNLABELLED_DOCS))
-    slot = F.xxhash64(F.lit(7), "doc_id")
-    from pyspark.sql import Window
+def _document_rows(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "source", "lang", F.col("n_chars").cast("long").alias("n_chars"))
 
-    rank = F.row_number().over(Window.partitionBy("y").orderBy(slot, "doc_id"))
-    picked = picked.withColumn("r", rank).where(F.col("r") <= F.when(F.col("y") < 0, UNLABELLED_DOCS).otherwise(TRAIN_DOCS_PER_CLASS)).drop("r").dropDuplicates(["doc_id"])
-    held = F.pmod(F.xxhash64(F.lit(8), "doc_id"), F.lit(1000)) < int(1000 * HELD_OUT_SHARE)
-    rows = docs.withColumn("doc_id", F.col("doc_id").cast("long")).select("doc_id", "text", "source", "lang", "n_chars").join(F.broadcast(picked), "doc_id").select("doc_id", "y", held.alias("held"), "text", "source", "lang", F.col("n_chars").cast("long").alias("n_chars"))
+
+def usual_shares(rows: DataFrame) -> np.ndarray:
+    """The share of each hashed trigram in all texts."""
+
+    def count(b: pa.RecordBatch) -> np.ndarray:
+        return sum((trigram_counts(p.column("text")).sum(0, dtype=np.float64) for p in pieces(iter([b]), "text", 2 << 20)), np.zeros(TEXT_DIMS))
+
+    total = summed(rows.select("text"), count, TEXT_DIMS) + 1
+    return total / total.sum()
+
+
+def _fetched(rows: DataFrame, ids: DataFrame, mean: np.ndarray) -> pd.DataFrame:
+    """Both views' features of a bounded number of documents, each once (of repeated ids, the least features)."""
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches, "text", 2 << 20):
-            xt, xm = trigram_counts(b.column("text")), _meta_of(b)
-            yield pa.record_batch([b.column("doc_id"), b.column("y"), b.column("held"), pa.array([r.tobytes() for r in xt], pa.binary()), pa.array([r.tobytes() for r in xm], pa.binary())], names=["doc_id", "y", "held", "xt", "xm"])
+            xt, xm = text_features(trigram_counts(b.column("text")), mean), _meta_of(b)
+            yield pa.record_batch([b.column("doc_id"), pa.array([r.tobytes() for r in xt], pa.binary()), pa.array([r.tobytes() for r in xm], pa.binary())], names=["doc_id", "xt", "xm"])
+
+    wanted = rows.join(F.broadcast(ids), "doc_id", "left_semi").select("doc_id", "text", "source", "lang", "n_chars")
+    got = wanted.mapInArrow(tidy(features), "doc_id long, xt binary, xm binary").toPandas().sort_values(["doc_id", "xt", "xm"]).drop_duplicates("doc_id")
+    got["xt"] = [np.frombuffer(r, np.float32) for r in got["xt"]]
+    got["xm"] = [np.frombuffer(r, np.float32) for r in got["xm"]]
+    return got
 
-    got = rows.mapInArrow(tidy(features), "doc_id long, y int, held boolean, xt binary, xm binary").toPandas().drop_duplicates("doc_id").sort_values("doc_id")
+
+def training_set(docs: DataFrame, labels: DataFrame, mean: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, tuple[int, int]]:
+    """Text and metadata features, labels and the held-out rows of a sample of the labelled documents, and the whole table's bad and good documents."""
+    marked = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct().join(known_labels(labels), "doc_id")
+    count = {r[0]: r[1] for r in marked.groupBy("y").count().collect()}
+    totals = (count.get(0, 0), count.get(1, 0))
+    held = F.pmod(F.xxhash64(F.lit(8), "doc_id"), F.lit(1000)) < int(1000 * HELD_OUT_SHARE)
+    picked = bounded_sample(marked, "y", "doc_id", TRAIN_DOCS_PER_CLASS).select("doc_id", "y", held.alias("held")).toPandas()
+    ids = docs.sparkSession.createDataFrame(picked[["doc_id"]], "doc_id long")
+    got = picked.merge(_fetched(_document_rows(docs), ids, mean), on="doc_id").sort_values("doc_id")
     if not len(got):
         return np.zeros((0, TEXT_DIMS), np.float32), np.zeros((0, META_DIMS), np.float32), np.zeros(0, np.int64), np.zeros(0, bool), totals
-    xt = np.stack([np.frombuffer(r, np.float32) for r in got["xt"]])
-    xm = np.stack([np.frombuffer(r, np.float32) for r in got["xm"]])
-    return xt, xm, got["y"].to_numpy(np.int64), got["held"].to_numpy(bool), totals
+    return np.stack(got["xt"].tolist()), np.stack(got["xm"].tolist()), got["y"].to_numpy(np.int64), got["held"].to_numpy(bool), totals
+
+
+def known_labels(labels: DataFrame) -> DataFrame:
+    """``(doc_id, y)``, each id once; of conflicting labels the lower one counts."""
+    return labels.where("doc_id is not null and quality in (0, 1)").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").cast("int").alias("y"))
+
+
+def whole_table_pool(docs: DataFrame, labels: DataFrame, mean: np.ndarray):
+    """``co_train``'s pool over all unlabelled documents: both views score them where they are, and only the ids of those that
+    reach the confidence are written, to be cut to the quota; of equally sure ones (to 3 digits of the log-odds) an order by a hash of the ids decides."""
+    rows, known = _document_rows(docs).where("doc_id is not null"), known_labels(labels).select("doc_id")
+
+    def pool(fitted, quotas: dict[int, int], confidence: float, given: list[list[int]]):
+        shared = docs.sparkSession.sparkContext.broadcast((fitted, mean))
+        edge = float(np.log(confidence / (1 - confidence)))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            views, usual = shared.value
+            for b in pieces(batches, "text", 2 << 20):
+                z = [logits(x, w).astype(np.float64) * platt[0] + platt[1] for x, (w, platt) in zip((text_features(trigram_counts(b.column("text")), usual), _meta_of(b)), views)]
+                yield pa.record_batch([b.column("doc_id"), pa.array(z[0]), pa.array(z[1])], names=["doc_id", "z0", "z1"]).filter(pa.array((np.abs(z[0]) >= edge) | (np.abs(z[1]) >= edge)))
+
+        sure = rows.mapInArrow(tidy(run), "doc_id long, z0 double, z1 double").join(known, "doc_id", "left_anti")
+        sure = written(sure.groupBy("doc_id").agg(F.min("z0").alias("z0"), F.min("z1").alias("z1")))
+        chosen: dict[tuple[int, int], list[int]] = {}
+        for v in (0, 1):
+            for label in (1, 0):
+                z = F.col(f"z{v}") * (1 if label else -1)
+                left = sure.where((z >= edge) & ~F.col("doc_id").isin(given[v])) if given[v] else sure.where(z >= edge)
+                chosen[v, label] = [r[0] for r in left.orderBy(F.round(z, 3).desc(), F.xxhash64("doc_id"), "doc_id").limit(quotas[label]).select("doc_id").collect()]
+        release(sure)
+        ids = sorted({i for x in chosen.values() for i in x})
+        if not ids:
+            return {}
+        got = _fetched(rows, docs.sparkSession.createDataFrame([(i,) for i in ids], "doc_id long"), mean)
+        own = {i: (t, m) for i, t, m in zip(got["doc_id"], got["xt"], got["xm"])}
+        return {key: [(i, own[i]) for i in x] for key, x in chosen.items()}
+
+    return pool
 
 
 SCORES = "doc_id long, p_text double, p_meta double, score double, keep boolean"
@@ -204,7 +248,8 @@ def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) ->
     """``(doc_id, p_text, p_meta, score, keep)`` for every row of ``docs``.
 
     Two logistic regressions, on trigrams of the whole text and on metadata (source, language, size and
-    layout), are co-trained on a bounded sample of the labelled and unlabelled documents and calibrated on
+    layout), are co-trained on ``TRAIN_DOCS_PER_CLASS`` labelled documents of each class at most and on pseudo-labels: in each
+    round either view takes over the documents that the other is surest of among all without a label. They are calibrated on
     a quarter of the labelled ones that neither trains on, weighted to the classes' counts in the whole table; ``score`` is the probability that both give if they are independent in
     either class: their log-odds add, less the prior's.
     ``keep`` is a score of ``threshold`` or more.
@@ -214,9 +259,10 @@ def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) ->
     Without labels of both classes all scores are null and all documents are kept.
     """
     model = None
-    xt, xm, y, held, totals = training_set(docs, labels)
-    if len(np.unique(y[(y >= 0) & ~held])) == 2:
-        model = co_train(xt, xm, y, held, totals=totals)
+    mean = usual_shares(_document_rows(docs))
+    xt, xm, y, held, totals = training_set(docs, labels, mean)
+    if len(np.unique(y[~held])) == 2:
+        model = co_train(xt, xm, y, held, mean, whole_table_pool(docs, labels, mean), totals=totals)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -233,8 +279,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) ->
                 cols = [pa.array(x.astype(np.float64)) for x in (sigmoid(zt), sigmoid(zm), s)] + [pa.array(s >= threshold)]
             yield pa.record_batch([b.column("doc_id"), *cols], names=["doc_id", "p_text", "p_meta", "score", "keep"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "source", "lang", F.col("n_chars").cast("long").alias("n_chars"))
-    return rows.mapInArrow(tidy(run), SCORES)
+    return _document_rows(docs).mapInArrow(tidy(run), SCORES)
 
 
 def op10_co_trained_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
