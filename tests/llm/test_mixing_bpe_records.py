@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from fundstelle.llm import bpe
 from fundstelle.llm.bpe import codec, decode, encode
-from fundstelle.llm.mixing import mix_sources, mixed_documents, permuted
+from fundstelle.llm.common import text_buffer
+from fundstelle.llm.mixing import mix_sources, mixed_documents, permuted, token_spans
 from fundstelle.llm.records import crc32c, masked, parse_record, read_records, write_records
 
 
@@ -48,6 +49,23 @@ def test_blocks_and_weights(spark, odd, none):
     assert mix_sources(none).count() == 0 and mix_sources(docs, {"zz": 1.0}).count() == 0
 
 
+def test_text_without_white_space_is_cut_to_blocks(spark):
+    text = "".join(chr(0x3041 + i * 7 % 80) for i in range(80_000))
+    docs = spark.createDataFrame([(1, text, "ja", "j", 80_000), (2, "x" * 50 + " é" + "ü" * 30, "de", "d", 82)], "doc_id long, text string, lang string, source string, n_chars long")
+    out = mix_sources(docs, {"j": 1.0}, block_tokens=1024).collect()
+    size = -(-len(text.encode()) // 16)
+    blocks = {r.block: r for r in out}
+    assert len(out) == -(-size // 1024) + 1 and max(len(r.text) for r in out) <= 1024 * 6 and max(r.n_tokens for r in out) == 1024
+    assert all(blocks[b].text in text for b in blocks)
+    arr = pa.array(["x" * 50 + " é" + "ü" * 30, None, "", "ab cd"])
+    buf, offs = text_buffer(arr)
+    start, row = token_spans(buf, offs)
+    ends = [min(e, offs[r + 1]) for e, r in zip([*start[1:], len(buf)], row)]
+    tokens = [buf[a:b].tobytes().decode() for a, b in zip(start, ends)]
+    assert "".join(tokens) == "x" * 50 + " é" + "ü" * 30 + "ab cd" and row.tolist() == [0] * 8 + [3] * 2
+    assert max(len(t.encode().strip()) for t in tokens) <= 19
+
+
 @pytest.mark.parametrize("alphabet", ["abcdefgh", "ab", "aaaaab", " \n\tab'st12.,!", "éüß漢字😀 a", "  \n  x", "'s't're 'll d"])
 def test_joined_parts_equal_the_whole(alphabet, monkeypatch):
     monkeypatch.setattr(bpe, "LEAF_BYTES", 32)
