@@ -108,6 +108,27 @@ def band_keys(sig: np.ndarray, bands: int = BANDS) -> np.ndarray:
     return key
 
 
+def sketches(sig: np.ndarray) -> np.ndarray:
+    """Four bits of each of a signature's values: two 64-bit words a line."""
+    four = ((sig * np.uint32(0x9E3779B1)) >> np.uint32(28)).astype(np.uint64)
+    shift = np.arange(16, dtype=np.uint64) * np.uint64(4)
+    return np.stack([np.bitwise_or.reduce(four[:, i : i + 16] << shift, axis=1) for i in (0, 16)], axis=1)
+
+
+def agreements(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """In how many of the 32 places sketches agree; the last axis has their two words."""
+    x = a ^ b
+    x |= x >> np.uint64(2)
+    x |= x >> np.uint64(1)
+    return HASHES - np.bitwise_count(x & np.uint64(0x1111111111111111)).sum(-1, dtype=np.int16)
+
+
+def least_agreements(threshold: float) -> int:
+    """Places in which lines of an index of ``threshold`` agree but for one in 100,000 (4.5 standard deviations)."""
+    p = threshold + (1 - threshold) / 16
+    return math.floor(HASHES * p - 4.5 * math.sqrt(HASHES * p * (1 - p)))
+
+
 # -- passes over the documents
 def _new_lines(batches: Iterator[pa.RecordBatch], max_bytes: int) -> Iterator[tuple[np.ndarray, pa.Array]]:
     """Digests and texts of lines, each about once in a task."""
@@ -132,8 +153,10 @@ def _new_lines(batches: Iterator[pa.RecordBatch], max_bytes: int) -> Iterator[tu
 
 def _emit_bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for h, lines in _new_lines(batches, 1 << 18):
-        keys = band_keys(signatures(lines))
-        yield pa.record_batch([pa.array(keys.view(np.int64).ravel()), pa.array(np.repeat(h[:, 0], BANDS))], names=["band", "h"])
+        sig = signatures(lines)
+        keys, sk = band_keys(sig), sketches(sig).view(np.int64)
+        cols = [keys.view(np.int64).ravel(), np.repeat(h[:, 0], BANDS), np.repeat(sk[:, 0], BANDS), np.repeat(sk[:, 1], BANDS)]
+        yield pa.record_batch([pa.array(c) for c in cols], names=["band", "h", "s0", "s1"])
 
 
 def _emit_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,27 +176,32 @@ def _emit_spots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 # -- candidates and their comparison
-def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From (band, h), sorted: each further line of a band beside the band's first one. Nothing of a band is held but that."""
-    band_now, hub, last = None, 0, 0
-    for b in batches:
-        if not b.num_rows:
-            continue
-        band, h = (b.column(c).to_numpy(zero_copy_only=False) for c in ("band", "h"))
-        new = np.ones(len(h), bool)
-        new[1:] = band[1:] != band[:-1]
-        if band_now is not None and band[0] == band_now:
-            new[0] = False
-        heads = np.flatnonzero(new)
-        hubs = np.empty(len(h), np.int64)
-        stop = np.append(heads, len(h))
-        hubs[: stop[0]] = hub
-        hubs[stop[0] :] = np.repeat(h[heads], np.diff(stop))
-        before = np.append(last, h[:-1])
-        use = ~new & (h != before)
-        band_now, hub, last = band[-1], int(hubs[-1]), int(h[-1])
-        if use.any():
-            yield pa.record_batch([pa.array(band[use]), pa.array(hubs[use]), pa.array(h[use])], names=["band", "hub", "h"])
+def _stars(threshold: float):
+    """From (band, h), sorted: each further line of a band beside the band's first one, and whether their sketches agree enough.
+    Nothing of a band is held but its first line's number and sketch."""
+    least = least_agreements(threshold)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        band_now, first, last = None, np.zeros((1, 3), np.int64), 0
+        for b in batches:
+            if not b.num_rows:
+                continue
+            band, h, s0, s1 = (b.column(c).to_numpy(zero_copy_only=False) for c in ("band", "h", "s0", "s1"))
+            own = np.stack([h, s0, s1], axis=1)
+            new = np.ones(len(h), bool)
+            new[1:] = band[1:] != band[:-1]
+            if band_now is not None and band[0] == band_now:
+                new[0] = False
+            heads = np.flatnonzero(new)
+            hubs = np.concatenate([np.repeat(first, heads[0] if len(heads) else len(h), 0), np.repeat(own[heads], np.diff(np.append(heads, len(h))), 0)])
+            use = ~new & (h != np.append(last, h[:-1]))
+            band_now, first, last = band[-1], hubs[-1:].copy(), int(h[-1])
+            if use.any():
+                near = agreements(hubs[use, 1:].view(np.uint64), own[use, 1:].view(np.uint64)) >= least
+                cols = [band[use], hubs[use, 0], h[use], near, s0[use], s1[use]]
+                yield pa.record_batch([pa.array(np.ascontiguousarray(c)) for c in cols], names=["band", "hub", "h", "near", "s0", "s1"])
+
+    return run
 
 
 def _shingle_sets(lines: pa.Array) -> list[frozenset[int]]:
@@ -211,17 +239,25 @@ def _verify_stars(threshold: float):
     return run
 
 
-def joined_within(sets: list[frozenset[int]], roots: list[int], threshold: float) -> list[tuple[int, int]]:
+def _agreeing(sk: np.ndarray, root: np.ndarray, least: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs i > j of different roots whose sketches agree in ``least`` places, some rows at a time."""
+    step = max(1, (1 << 19) // len(sk))
+    for at in range(0, len(sk), step):
+        i = slice(at, at + step)
+        ok = agreements(sk[i, None], sk[None, : at + step]) >= least
+        ok &= root[i, None] != root[None, : at + step]
+        x, y = np.nonzero(ok)
+        x += at
+        yield x[x > y], y[x > y]
+
+
+def joined_within(lines: list[str], sk: np.ndarray, roots: np.ndarray, threshold: float) -> list[tuple[int, int]]:
     """Links that join the lines of one cell, whose components are given, as all similar pairs would.
 
-    A prefix filter: of two sets with an index of ``threshold``, the rarest few of both have one in common. Pairs within a component
-    are left out, also within one that has just been made.
+    Only pairs whose sketches agree are compared, and none within a component, also within one that has just been made.
     """
-    count: dict[int, int] = {}
-    for s in sets:
-        for x in s:
-            count[x] = count.get(x, 0) + 1
     parent: dict[int, int] = {}
+    sets: dict[int, frozenset[int]] = {}
 
     def find(x: int) -> int:
         while parent.get(x, x) != x:
@@ -229,51 +265,71 @@ def joined_within(sets: list[frozenset[int]], roots: list[int], threshold: float
             x = parent[x]
         return x
 
-    index: dict[int, dict[int, list[int]]] = {}  # lines by rare shingle and component
-    out = []
-    for i, s in enumerate(sets):
-        prefix = sorted((count[x], x) for x in s)[: len(s) - math.ceil(threshold * len(s)) + 1]
-        tried: set[int] = set()
-        for _, x in prefix:
-            held: dict[int, list[int]] = {}
-            for r, js in index.get(x, {}).items():
-                r = find(r)
-                held[r] = js if r not in held else held[r] + js
-            for r, js in held.items():
-                if find(r) == find(roots[i]):
-                    continue
-                for j in js:
-                    if j not in tried:
-                        tried.add(j)
-                        if _alike(s, sets[j], threshold):
-                            parent[find(roots[i])] = find(r)
-                            out.append((i, j))
-                            break
-            held.setdefault(find(roots[i]), []).append(i)
-            index[x] = held
+    def set_of(i: int) -> frozenset[int]:
+        if i not in sets:
+            sets[i] = _shingle_sets(pa.array([lines[i]], pa.string()))[0]
+        return sets[i]
+
+    own, out = roots.tolist(), []
+    for x, y in _agreeing(sk, roots, least_agreements(threshold)):
+        for i, j in zip(x.tolist(), y.tolist()):
+            a, b = find(own[i]), find(own[j])
+            if a != b and _alike(set_of(i), set_of(j), threshold):
+                parent[a] = b
+                out.append((i, j))
     return out
 
 
-def _verify_cells(threshold: float):
-    """Links across components within each (band, block, block), whose rows come together; one cell is held at a time."""
+def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of each (band, block, block), which come together, as one batch; one cell is held at a time."""
+    held: list[pa.RecordBatch] = []
+    now = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        keys = np.stack([b.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("band", "lo", "hi")], axis=1)
+        cuts = np.concatenate([[0], np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1, [len(keys)]])
+        for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            key = keys[lo].tolist()
+            if key != now and held:
+                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                held = []
+            now = key
+            held.append(b.slice(lo, hi - lo))
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
+def _sketch_of(c: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    words = [c.column(x).to_numpy(zero_copy_only=False) for x in ("s0", "s1", "root")]
+    return np.stack(words[:2], axis=1).view(np.uint64), words[2]
+
+
+def _promising(threshold: float):
+    """The lines of each cell whose sketch agrees with one of another component's line."""
+    least = least_agreements(threshold)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = None, []
+        for c in _cells(batches):
+            if c.num_rows > 1:
+                use = np.zeros(c.num_rows, bool)
+                for x, y in _agreeing(*_sketch_of(c), least):
+                    use[x] = use[y] = True
+                if use.any():
+                    yield c.filter(pa.array(use))
 
-        def flush(rows: list[tuple[int, int, str]]) -> Iterator[pa.RecordBatch]:
-            if len({r[1] for r in rows}) < 2:
-                return
-            links = joined_within(_shingle_sets(pa.array([r[2] for r in rows], pa.string())), [r[1] for r in rows], threshold)
-            if links:
-                yield pa.record_batch([pa.array([rows[i][0] for i, _ in links], pa.int64()), pa.array([rows[j][0] for _, j in links], pa.int64())], names=["u", "v"])
+    return run
 
-        for b in batches:
-            for key, row in zip(zip(*(b.column(c).to_pylist() for c in ("band", "lo", "hi"))), zip(*(b.column(c).to_pylist() for c in ("h", "root", "line")))):
-                if key != now:
-                    yield from flush(held)
-                    now, held = key, []
-                held.append(row)
-        yield from flush(held)
+
+def _verify_cells(threshold: float):
+    """Links across components within each cell."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for c in _cells(batches):
+            links = joined_within(c.column("line").to_pylist(), *_sketch_of(c), threshold)
+            if links:
+                h = c.column("h").to_numpy(zero_copy_only=False)
+                yield pa.record_batch([pa.array(h[[i for i, _ in links]]), pa.array(h[[j for _, j in links]])], names=["u", "v"])
 
     return run
 
@@ -282,34 +338,43 @@ def line_components(docs: DataFrame, threshold: float = JACCARD, block: int = BL
     """``(h, h2, root)`` for lines, by the 128 bits of their text, that are joined to others by similar text; ``root`` is the ``h`` of one of them.
 
     Two passes over the candidates find the components of all similar pairs under a common band key without looking at all
-    pairs: first each line against the first of its band key; then, under keys that hold different components still, lines of different
-    components, through their rarest shingles, in blocks of ``block`` lines.
+    texts: first each line against the first of its band key; then, under keys that hold different components still, lines of different
+    components, in blocks of ``block`` lines. Band keys carry sketches of the signatures (16 bytes a line); texts are fetched and compared
+    for pairs whose sketches agree as lines of an index of ``threshold`` do but for one in 100,000.
     """
-    bands = docs.select("text").where("text is not null").mapInArrow(tidy(_emit_bands), "band long, h long")
-    members = written(bands.repartition("band").sortWithinPartitions("band", "h").mapInArrow(tidy(_stars), "band long, hub long, h long"))
-    keys = written(members.select("h").union(members.select("hub").distinct()).distinct())
-    lines = docs.select("text").where("text is not null").mapInArrow(tidy(_emit_texts), "h long, h2 long, line string")
-    # of lines of equal h (one pair in 2**64) the one of least h2 takes part
-    texts = written(lines.join(small(keys), "h", "left_semi").groupBy("h").agg(F.min(F.struct("h2", "line")).alias("x")).select("h", "x.h2", "x.line"))
-    stars = members.select(F.col("hub").alias("u"), F.col("h").alias("v")).distinct()
+    bands = docs.select("text").where("text is not null").mapInArrow(tidy(_emit_bands), "band long, h long, s0 long, s1 long")
+    members = written(bands.repartition("band").sortWithinPartitions("band", "h").mapInArrow(tidy(_stars(threshold)), "band long, hub long, h long, near boolean, s0 long, s1 long"))
+
+    def texts_of(h: DataFrame) -> DataFrame:
+        lines = docs.select("text").where("text is not null").mapInArrow(tidy(_emit_texts), "h long, h2 long, line string")
+        # of lines of equal h (one pair in 2**64) the one of least h2 takes part
+        return written(lines.join(small(h), "h", "left_semi").groupBy("h").agg(F.min(F.struct("h2", "line")).alias("x")).select("h", "x.h2", "x.line"))
+
+    stars = written(members.where("near").select(F.col("hub").alias("u"), F.col("h").alias("v")).distinct())
+    keys = written(stars.select("u").union(stars.select("v")).toDF("h").distinct())
+    texts = texts_of(keys)
     one = stars.join(texts.select(F.col("h").alias("v"), F.col("line").alias("tv")), "v")
     two = one.join(texts.select(F.col("h").alias("u"), F.col("line").alias("tu")), "u").sortWithinPartitions("u")
     edges = written(two.select("u", "v", "tu", "tv").mapInArrow(tidy(_verify_stars(threshold)), "u long, v long"))
     found = components(edges)
-    rooted = members.join(small(found.withColumnRenamed("node", "h")), "h", "left").select("band", "h", F.coalesce("root", "h").alias("root"))
+    rooted = members.join(small(found.withColumnRenamed("node", "h")), "h", "left").select("band", "h", F.coalesce("root", "h").alias("root"), "s0", "s1")
     open_bands = rooted.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
     blocks = F.ceil(F.col("n") / block).cast("int")
     cells = rooted.join(open_bands.select("band", blocks.alias("blocks")), "band").withColumn("own", F.pmod("h", "blocks").cast("int"))
     cells = cells.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cells = cells.select("band", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "h", "root").join(texts.select("h", "line"), "h")
-    cells = cells.repartition("band", "lo", "hi").sortWithinPartitions("band", "lo", "hi", "h")
-    more = written(cells.select("band", "lo", "hi", "h", "root", "line").mapInArrow(tidy(_verify_cells(threshold)), "u long, v long"))
+    cells = cells.select("band", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "h", "root", "s0", "s1")
+    by_cell = lambda df: df.repartition("band", "lo", "hi").sortWithinPartitions("band", "lo", "hi", "h")
+    maybe = written(by_cell(cells).mapInArrow(tidy(_promising(threshold)), cells.schema))
+    more_keys = written(maybe.select("h").distinct())
+    more_texts = texts_of(more_keys)
+    more = written(by_cell(maybe.join(more_texts.select("h", "line"), "h")).select(*maybe.columns, "line").mapInArrow(tidy(_verify_cells(threshold)), "u long, v long"))
     if more.limit(1).count():
         again = components(edges.union(more))
         release(found)
         found = again
-    out = written(found.withColumnRenamed("node", "h").join(texts.select("h", "h2"), "h").select("h", "h2", "root"))
-    for t in (members, keys, texts, edges, more, found):
+    names = texts.select("h", "h2").union(more_texts.select("h", "h2")).distinct()
+    out = written(found.withColumnRenamed("node", "h").join(names, "h").select("h", "h2", "root"))
+    for t in (members, stars, keys, texts, edges, maybe, more_keys, more_texts, more, found):
         release(t)
     return out
 
@@ -321,7 +386,8 @@ def dedup_lines(docs: DataFrame, threshold: float = JACCARD) -> DataFrame:
     Lines of equal 128 bits are equal. Two lines are similar if the Jaccard index of their sets of lower-cased 5-character shingles (a
     shorter line is one; lower case is by single code points) is ``threshold`` or more; similar lines form components, of which
     the occurrence of least (doc_id, hash of the text, line number) stays. Pairs are found by 8 bands of 4 of 32 MinHash
-    values (98.5 % at an index of 0.8, 99.9 % at 0.9) and verified on the whole lines.
+    values (98.5 % at an index of 0.8, 99.9 % at 0.9) and verified on the whole lines; before that, pairs whose 32 values agree in
+    fewer places than lines of that index do but for one in 100,000 are left out.
 
     A document that loses all its lines stays with an empty text. Null text stays null. Rows of equal id
     and text are one document that occurs twice: they keep the same lines. Null ids are kept and count as least. ``n_chars``, if there, is counted anew.

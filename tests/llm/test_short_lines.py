@@ -1,6 +1,9 @@
 import random
 
-from fundstelle.llm.linededup import dedup_lines, joined_within
+import numpy as np
+import pyarrow as pa
+
+from fundstelle.llm.linededup import _shingle_sets, dedup_lines, joined_within, signatures, sketches
 
 WORDS = ["".join(random.Random(i).choices("abcdefghijklmnopqrstuvwxyz", k=3 + i % 7)) for i in range(3000)]
 
@@ -64,16 +67,16 @@ def _groups(items, near):
     return [find(i) for i in items]
 
 
-def test_rare_shingles_find_all_that_all_pairs_do():
+def test_sketches_find_all_that_all_pairs_do():
     rng = random.Random(8)
-    sets, roots = [], []
-    for c in range(6):
-        base = [rng.randrange(10**6) for _ in range(40)]
-        for _ in range(12):
-            sets.append(frozenset(x if rng.random() > 0.08 else rng.randrange(10**6) for x in base))
-            roots.append(len(roots))
+    lines = []
+    for _ in range(6):
+        base = rng.choices(WORDS, k=24)
+        lines += [" ".join(x if rng.random() > 0.04 else rng.choice(WORDS) for x in base) for _ in range(12)]
+    arr = pa.array(lines)
+    sets = _shingle_sets(arr)
     for t in (0.5, 0.8, 0.9):
-        links = joined_within(sets, roots, t)
+        links = joined_within(lines, sketches(signatures(arr)), np.arange(len(lines)), t)
         full = [(i, j) for i in range(len(sets)) for j in range(i) if len(sets[i] & sets[j]) >= t * len(sets[i] | sets[j])]
         assert {frozenset(x) for x in links} <= {frozenset(x) for x in full} and len(links) < len(sets)
         group = lambda edges: _groups(list(range(len(sets))), lambda a, b: (a, b) in edges or (b, a) in edges)
