@@ -21,6 +21,8 @@ ROWS = HASHES // BANDS
 JACCARD = 0.8
 #: Lines of one band key that are compared in one task; more are cut to blocks, and pairs of blocks meet.
 BLOCK_LINES = 2048
+#: Lines of a cell up to which cells are compared together.
+SMALL_CELL = 64
 #: Lines (16 bytes each) that a task remembers to have sent; beyond it forgets them and sends repeated lines again.
 REMEMBERED = 1 << 20
 _RNG = np.random.Generator(np.random.PCG64(20240415))
@@ -251,13 +253,28 @@ def _agreeing(sk: np.ndarray, root: np.ndarray, least: int) -> Iterator[tuple[np
         yield x[x > y], y[x > y]
 
 
-def joined_within(lines: list[str], sk: np.ndarray, roots: np.ndarray, threshold: float) -> list[tuple[int, int]]:
-    """Links that join the lines of one cell, whose components are given, as all similar pairs would.
+def _pairs(sk: np.ndarray, root: np.ndarray, cell: np.ndarray, least: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The same for many cells at once, whose rows are beside each other: small ones together, by their distance, and large ones each."""
+    first = np.flatnonzero(np.append(True, cell[1:] != cell[:-1]))
+    size = np.diff(np.append(first, len(cell)))
+    for at, n in zip(first[size > SMALL_CELL].tolist(), size[size > SMALL_CELL].tolist()):
+        for x, y in _agreeing(sk[at : at + n], root[at : at + n], least):
+            yield x + at, y + at
+    rows = np.flatnonzero(np.repeat(size <= SMALL_CELL, size))
+    end = np.repeat(first + size, size)
+    for d in range(1, int(size[size <= SMALL_CELL].max(initial=1))):
+        rows = rows[rows + d < end[rows]]
+        near = rows[agreements(sk[rows], sk[rows + d]) >= least]
+        near = near[root[near] != root[near + d]]
+        yield near + d, near
+
+
+def joined_within(lines: pa.Array, sk: np.ndarray, roots: np.ndarray, cell: np.ndarray, threshold: float) -> list[tuple[int, int]]:
+    """Links that join the lines of each cell, whose components are given, as all similar pairs would.
 
     Only pairs whose sketches agree are compared, and none within a component, also within one that has just been made.
     """
     parent: dict[int, int] = {}
-    sets: dict[int, frozenset[int]] = {}
 
     def find(x: int) -> int:
         while parent.get(x, x) != x:
@@ -265,44 +282,41 @@ def joined_within(lines: list[str], sk: np.ndarray, roots: np.ndarray, threshold
             x = parent[x]
         return x
 
-    def set_of(i: int) -> frozenset[int]:
-        if i not in sets:
-            sets[i] = _shingle_sets(pa.array([lines[i]], pa.string()))[0]
-        return sets[i]
-
     own, out = roots.tolist(), []
-    for x, y in _agreeing(sk, roots, least_agreements(threshold)):
+    sets = _shingle_sets(lines)
+    for x, y in _pairs(sk, roots, cell, least_agreements(threshold)):
         for i, j in zip(x.tolist(), y.tolist()):
             a, b = find(own[i]), find(own[j])
-            if a != b and _alike(set_of(i), set_of(j), threshold):
+            if a != b and _alike(sets[i], sets[j], threshold):
                 parent[a] = b
                 out.append((i, j))
     return out
 
 
-def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The rows of each (band, block, block), which come together, as one batch; one cell is held at a time."""
-    held: list[pa.RecordBatch] = []
-    now = None
-    for b in batches:
-        if not b.num_rows:
-            continue
-        keys = np.stack([b.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("band", "lo", "hi")], axis=1)
-        cuts = np.concatenate([[0], np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1, [len(keys)]])
-        for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-            key = keys[lo].tolist()
-            if key != now and held:
-                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-                held = []
-            now = key
-            held.append(b.slice(lo, hi - lo))
-    if held:
-        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
+    """Whole cells (band, block, block), whose rows come together, with sketches, roots and the cells' numbers; about 4096 rows or a megabyte, or one cell."""
 
+    def read(held: list[pa.RecordBatch]) -> tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]:
+        b = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        col = lambda c: b.column(c).to_numpy(zero_copy_only=False).astype(np.int64)
+        keys = np.stack([col(c) for c in ("band", "lo", "hi")], axis=1)
+        cell = np.cumsum(np.append(0, (keys[1:] != keys[:-1]).any(1)))
+        return b, np.stack([col("s0"), col("s1")], axis=1).view(np.uint64), col("root"), cell
 
-def _sketch_of(c: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    words = [c.column(x).to_numpy(zero_copy_only=False) for x in ("s0", "s1", "root")]
-    return np.stack(words[:2], axis=1).view(np.uint64), words[2]
+    held: list[pa.RecordBatch] = []
+    for whole in batches:
+        for b in pieces(iter([whole]), "line", 1 << 19) if "line" in whole.schema.names else [whole]:
+            if not b.num_rows:
+                continue
+            held.append(b)
+            if sum(x.num_rows for x in held) >= 4096 or sum(x.nbytes for x in held) >= 1 << 20:
+                t, sk, root, cell = read(held)
+                cut = int(np.searchsorted(cell, cell[-1]))
+                if cut:
+                    yield t.slice(0, cut), sk[:cut], root[:cut], cell[:cut]
+                held = [t.slice(cut)]
+    if held:
+        yield read(held)
 
 
 def _promising(threshold: float):
@@ -310,13 +324,12 @@ def _promising(threshold: float):
     least = least_agreements(threshold)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for c in _cells(batches):
-            if c.num_rows > 1:
-                use = np.zeros(c.num_rows, bool)
-                for x, y in _agreeing(*_sketch_of(c), least):
-                    use[x] = use[y] = True
-                if use.any():
-                    yield c.filter(pa.array(use))
+        for b, sk, root, cell in _cells(batches):
+            use = np.zeros(b.num_rows, bool)
+            for x, y in _pairs(sk, root, cell, least):
+                use[x] = use[y] = True
+            if use.any():
+                yield b.filter(pa.array(use))
 
     return run
 
@@ -325,10 +338,10 @@ def _verify_cells(threshold: float):
     """Links across components within each cell."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for c in _cells(batches):
-            links = joined_within(c.column("line").to_pylist(), *_sketch_of(c), threshold)
+        for b, sk, root, cell in _cells(batches):
+            links = joined_within(b.column("line"), sk, root, cell, threshold)
             if links:
-                h = c.column("h").to_numpy(zero_copy_only=False)
+                h = b.column("h").to_numpy(zero_copy_only=False)
                 yield pa.record_batch([pa.array(h[[i for i, _ in links]]), pa.array(h[[j for _, j in links]])], names=["u", "v"])
 
     return run

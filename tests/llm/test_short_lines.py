@@ -76,8 +76,11 @@ def test_sketches_find_all_that_all_pairs_do():
     arr = pa.array(lines)
     sets = _shingle_sets(arr)
     for t in (0.5, 0.8, 0.9):
-        links = joined_within(lines, sketches(signatures(arr)), np.arange(len(lines)), t)
+        links = joined_within(arr, sketches(signatures(arr)), np.arange(len(lines)), np.zeros(len(lines), int), t)
         full = [(i, j) for i in range(len(sets)) for j in range(i) if len(sets[i] & sets[j]) >= t * len(sets[i] | sets[j])]
         assert {frozenset(x) for x in links} <= {frozenset(x) for x in full} and len(links) < len(sets)
         group = lambda edges: _groups(list(range(len(sets))), lambda a, b: (a, b) in edges or (b, a) in edges)
         assert group(set(links)) == group(set(full))
+        cell = np.arange(len(lines)) // 7
+        links = joined_within(arr, sketches(signatures(arr)), np.arange(len(lines)), cell, t)
+        assert group(set(links)) == group({(i, j) for i, j in full if cell[i] == cell[j]})
