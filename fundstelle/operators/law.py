@@ -16,11 +16,12 @@ from fundstelle.schema import CITATION, MARKER, citation, citation_id, span
 from fundstelle.sources.lexicon import LawLexicon, bundled
 
 REF = "array<struct<book:string,section:string,court:string,file_number:string>>"
-#: Fill-ins of a range of sections: a wider range is a misprint and would not fit into memory.
-MAX_RANGE = 10_000
-#: What may stand between a section and its book: any of these characters, and the words for parts of a section.
-_FREE = r"[0-9a-zIXV.,;\s]*"
-BETWEEN = rf"{_FREE}(?:(?:Abs|Satz|Halbsatz|S\.|Nr|Alt){_FREE}){{0,64}}"
+#: Sections of one range that a row's array can hold with all that is made of it; of a wider one both ends are kept.
+MAX_RANGE = 100_000
+#: What may stand between a section and its book: any of these characters, and the words for parts of a section (Abs, Alt,
+#: Satz, S., Halbsatz, Nr), in any number. A step of one sign makes it a loop without recursion: a word's first letter
+#: must have the rest behind it, which the free characters take.
+BETWEEN = r"(?:(?!A(?!bs|lt)|S(?!atz|\.)|H(?!albsatz)|N(?!r))[0-9a-zIXV.,;\sASHN])*"
 SECTION = r"(?<sect>[0-9]+\s?[a-z]?)"
 _NAME_ENDS = "gesetz(?:es|buch(?:es)?)?|(?:ver)?ordnung|verfassung"
 SPLITTER = r"(?<sep>§§|&#167;&#167;|[,;]|und|bis)\s?(?<sect>[0-9]+\s(?=bis|und)|[0-9]+\s?[a-z]|[0-9]+)"
@@ -160,8 +161,9 @@ def with_context_markers(df: DataFrame, book: str, text: str = "text", out: str
         g = m["groups"]
         if i == 0:
             a, b = number(g[0]), number(g[1])
-            ok = F.coalesce((a <= b) & (b - a < MAX_RANGE), F.lit(False))
-            return F.when(ok, F.transform(F.sequence(a, b), lambda n: _ref(name, n.cast("string")))).otherwise(F.array().cast(REF))
+            each = F.transform(F.sequence(a, b), lambda n: _ref(name, n.cast("string")))
+            ends = F.array(_ref(name, a.cast("string")), _ref(name, b.cast("string")))
+            return F.when((a <= b) & (b - a < MAX_RANGE), each).when(a <= b, ends).otherwise(F.array().cast(REF))
         if i == 1:
             return F.array(_ref(name, F.concat(F.lit("anlage-"), number(g[0]).cast("string"))))
         return F.array(_ref(name, g[0]))
@@ -193,22 +195,21 @@ def split_spans(marker: Column) -> Column:
         pos = acc["at"] + hit - 1
         before = F.rtrim(F.substr(text, F.lit(1), pos))
         edge = (pos == 0) | before.rlike("[§,;]$")
-        found = F.concat(acc["out"], F.array(F.when((hit > 0) & edge, pos)))
-        return F.struct(F.when(hit > 0, pos + F.length(r["section"])).otherwise(acc["at"]).alias("at"), found.alias("out"))
+        last = F.when((hit > 0) & edge, pos).otherwise(acc["last"])
+        return F.struct(F.when(hit > 0, pos + F.length(r["section"])).otherwise(acc["at"]).alias("at"), last.alias("last"), F.concat(acc["out"], F.array(last)).alias("out"))
 
     def spans(starts: Column) -> Column:
-        edges = F.filter(starts, lambda s: s.isNotNull())
+        edges = F.array_distinct(F.filter(starts, lambda s: s.isNotNull()))  # they grow
 
         def one(_: Column, i: Column) -> Column:
-            own = F.array_max(F.filter(F.slice(starts, F.lit(1), i + 1), lambda s: s.isNotNull()))
-            begin = F.coalesce(own, edges[0])
+            begin = F.coalesce(F.get(starts, i), edges[0])
             nxt = F.array_min(F.filter(edges, lambda s: s > begin))
             end = F.when(nxt.isNull(), F.length(text)).otherwise(F.length(F.regexp_replace(F.substr(text, F.lit(1), nxt), "[ ,;]+$", "")))
             return F.struct(F.when(begin == edges[0], 0).otherwise(begin).alias("a"), end.alias("b"))
 
         return F.when(F.size(edges) >= 2, F.transform(refs, one)).otherwise(F.transform(refs, lambda _: whole))
 
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+    zero = F.struct(F.lit(0).alias("at"), F.lit(None).cast("int").alias("last"), F.array().cast("array<int>").alias("out"))
     found = F.when(F.size(refs) > 1, F.aggregate(refs, zero, locate)["out"]).otherwise(F.array(F.lit(None).cast("int")))
     return F.transform(let(found, spans), lambda s: span(marker["start"] + s["a"], marker["start"] + s["b"], F.substr(text, s["a"] + 1, s["b"] - s["a"])))
 

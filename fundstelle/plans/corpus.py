@@ -95,6 +95,7 @@ def case(first: int, last: int, court: str | None, number: str) -> Cite:
 LAW = {
     "law_single": Template(["Nach ", "§ {n} BGB", " gilt dies."], [law(1, 1, "bgb", "{n}")]),
     "law_any_content": Template(["Nach ", "§ {n} Abs. {a} Satz 2 VwGO", " ist dies so."], [law(1, 1, "vwgo", "{n}")]),
+    "law_long_clause": Template(["Nach ", "§ {n} " + "Abs. {a} Satz 2, " * 80 + "Nr. {m} BGB", " gilt dies."], [law(1, 1, "bgb", "{n}")]),
     "law_paragraph_alternative": Template(["Siehe ", "§ {n} Abs. {a} Alt. 1 VwGO", ", der"], [law(1, 1, "vwgo", "{n}")]),
     "law_multi_sections": Template(["Laut ", "§§ {n}", ", ", "{m} BGB", " gilt"], [law(1, 1, "bgb", "{n}"), law(3, 3, "bgb", "{m}")]),
     "law_multi_books": Template(["Die ", "§ {n} VwGO", " i.V.m. ", "§§ {m} Nr. 11", ", ", "{m1} ZPO", "."], [law(1, 1, "vwgo", "{n}"), law(3, 3, "zpo", "{m}"), law(5, 5, "zpo", "{m1}")]),

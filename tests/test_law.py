@@ -72,9 +72,22 @@ def test_long_inputs_neither_overflow_nor_hang(spark):
     texts = ["§ 1 " + "a b " * 20_000, "§ 1 " + "Abs. " * 4_000 + "BGB ", "§ 5 " + " ".join(["12345"] * 300), "§§ " + ", ".join(map(str, range(3000))), "§§ 1 bis 99999999999999999999 BGB x"]
     df = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
     got = refs(with_law_markers(df))
+    assert got.get(0, []) == got.get(2, []) == got.get(3, []) == [] and got[1] == ["bgb/1"]
     assert got[4] == ["bgb/1", "bgb/99999999999999999999"]
 
 
+def test_wide_ranges_and_long_clauses_are_whole(spark):
+    texts = ["§§ 1 bis 20000 BGB gilt", "§ 7 " + "Abs. 1 Satz 2, " * 80 + "Nr. 3 Halbsatz 1 BGB gilt", "Art. 5 " + "Abs. 1 Nr. 2 S. 3 " * 300 + " GG gilt", "§ 1 Abs. 1 Hals 2 BGB gilt", "§§ 1 bis 200000 BGB gilt"]
+    got = refs(with_law_markers(spark.createDataFrame(list(enumerate(texts)), "i int, text string")))
+    assert sorted(got[0], key=lambda r: int(r.split("/")[1])) == [f"bgb/{n}" for n in range(1, 20_001)]
+    assert got[1] == ["bgb/7"] and got[2] == ["gg/5"] and got.get(3, []) == [] and got[4] == ["bgb/1", "bgb/200000"]
+    spans = with_law_markers(spark.createDataFrame([(0, texts[0])], "i int, text string")).select(F.size(law_citations(F.col("markers")))).first()[0]
+    assert spans == 20_000
+    context = with_context_markers(spark.createDataFrame([(0, "§§ 1 bis 10001 x"), (1, "§§ 3 bis 300000 x"), (2, "§§ 9 bis 3 x")], "i int, text string"), "zpo")
+    rows = {r.i: [x.section for m in r.markers for x in m.refs] for r in context.collect()}
+    assert rows[0] == [str(n) for n in range(1, 10_002)] and rows[1] == ["3", "300000"] and rows[2] == []
+
+
 def test_marks_in_the_input_do_no_harm(spark):
     df = spark.createDataFrame([(0, "§ 1 BGB x 😀 § 2 BGB y")], "i int, text string")
     row = with_law_markers(df).first()
