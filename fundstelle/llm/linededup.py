@@ -23,6 +23,8 @@ JACCARD = 0.8
 BLOCK_LINES = 2048
 #: Lines of a cell up to which cells are compared together.
 SMALL_CELL = 64
+#: Bits of a line's map of shingles.
+MAP_BITS = 2048
 #: Lines (16 bytes each) that a task remembers to have sent; beyond it forgets them and sends repeated lines again.
 REMEMBERED = 1 << 20
 _RNG = np.random.Generator(np.random.PCG64(20240415))
@@ -33,6 +35,11 @@ _SPACES[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32]] = True
 
 
 # -- lines and shingles
+def _blank(raw: bytes) -> bool:
+    text = raw.decode("utf-8", "replace")
+    return not text or text.isspace()
+
+
 def line_spans(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, ...]:
     """Byte ranges, rows and numbers of all lines (what line feeds part) that hold more than white space of any kind."""
     n = len(offs) - 1
@@ -50,13 +57,10 @@ def line_spans(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, ...]:
     end = np.where(same, np.append(start[1:], 0) - 1, offs[row + 1])
     first = np.searchsorted(row, np.arange(n))
     no = np.arange(len(row)) - first[row]
-    solid = np.zeros(len(buf) + 1, np.int64)
-    np.cumsum(~_SPACES[buf], out=solid[1:])
-    plain = np.zeros(len(buf) + 1, np.int64)
-    np.cumsum(~_SPACES[buf] & (buf < 128), out=plain[1:])
-    keep = solid[end] > solid[start]
-    for i in np.flatnonzero(keep & (plain[end] == plain[start])):  # no ASCII sign: spaces of other kinds, perhaps
-        keep[i] = not buf[start[i] : end[i]].tobytes().decode("utf-8", "replace").isspace()
+    keep = end > start
+    ascii_sign = np.append(~_SPACES[buf] & (buf < 128), False)
+    for i in np.flatnonzero(keep & ~ascii_sign[start] & ~ascii_sign[end - 1]):  # of spaces alone, perhaps of other kinds
+        keep[i] = ascii_sign[start[i] : end[i]].any() or not _blank(buf[start[i] : end[i]].tobytes())
     return start[keep], end[keep], row[keep], no[keep]
 
 
@@ -73,18 +77,23 @@ def _strings(raw: bytes, start: np.ndarray, end: np.ndarray) -> pa.Array:
 def shingle_hashes(arr: pa.Array, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all k-character windows of each lower-cased line, in order, and the n+1 offsets of the lines; a shorter line is one window."""
     cps, offs = code_points(arr)
-    n = len(arr)
     lens = np.diff(offs)
-    wide = np.zeros(len(cps) + n * (k - 1) + k, np.uint64)  # every line has room behind it for the windows of short lines
-    wide[np.arange(len(cps)) + np.repeat(np.arange(n) * (k - 1), lens)] = cps
-    h = wide[: len(wide) - k + 1] * _MIX[0]
+    wide = np.zeros(len(cps) + k - 1, np.uint64)
+    wide[: len(cps)] = cps
+    h = wide[: len(cps)] * _MIX[0]
+    part = np.empty_like(h)
     for j in range(1, k):
-        h += wide[j : len(wide) - k + 1 + j] * _MIX[j]
-    count = np.where(lens > 0, np.maximum(lens - k + 1, 1), 0)
-    ends = np.zeros(n + 1, np.int64)
-    np.cumsum(count, out=ends[1:])
-    begin = offs[:-1] + np.arange(n) * (k - 1)
-    return mix64(h[np.arange(ends[-1]) + np.repeat(begin - ends[:-1], count)]), ends
+        h += np.multiply(wide[j : len(cps) + j], _MIX[j], out=part)
+    use = np.ones(len(cps), bool)
+    for j in range(1, k):  # windows across a line's end
+        use[offs[1:][lens >= j] - j] = False
+    for i in np.flatnonzero((lens > 0) & (lens < k)):
+        at = offs[i]
+        use[at] = True
+        h[at] = (wide[at : offs[i + 1]] * _MIX[: lens[i]]).sum(dtype=np.uint64)
+    ends = np.zeros(len(lens) + 1, np.int64)
+    np.cumsum(np.where(lens > 0, np.maximum(lens - k + 1, 1), 0), out=ends[1:])
+    return mix64(h[use]), ends
 
 
 def signatures(arr: pa.Array) -> np.ndarray:
@@ -206,10 +215,47 @@ def _stars(threshold: float):
     return run
 
 
+class _Sets:
+    """Shingle sets of some lines, each made when it is first needed, and bit maps of all that rule out most pairs."""
+
+    def __init__(self, lines: pa.Array):
+        self.h, self.ends = shingle_hashes(lines)
+        self.made: dict[int, frozenset[int]] = {}
+        n = len(self.ends) - 1
+        self.count = np.diff(self.ends)
+        self.maps = np.empty((n, MAP_BITS // 64), np.uint64)
+        for at in range(0, n, 1024):
+            to = min(n, at + 1024)
+            bits = np.zeros((to - at, MAP_BITS), bool)
+            own = self.h[self.ends[at] : self.ends[to]]
+            bits[np.repeat(np.arange(to - at), self.count[at:to]), (own & np.uint64(MAP_BITS - 1)).astype(np.int64)] = True
+            self.maps[at:to] = np.packbits(bits, axis=1).view(np.uint64)
+
+    def __getitem__(self, i: int) -> frozenset[int]:
+        if i not in self.made:
+            self.made[i] = frozenset(self.h[self.ends[i] : self.ends[i + 1]].tolist())
+        return self.made[i]
+
+
 def _shingle_sets(lines: pa.Array) -> list[frozenset[int]]:
-    h, ends = shingle_hashes(lines)
-    values, cuts = h.tolist(), ends.tolist()
-    return [frozenset(values[a:b]) for a, b in zip(cuts[:-1], cuts[1:])]
+    sets = _Sets(lines)
+    return [sets[i] for i in range(len(lines))]
+
+
+def may_be_alike(a: _Sets, x: np.ndarray, b: _Sets, y: np.ndarray, threshold: float) -> np.ndarray:
+    """Which lines ``x`` of ``a`` and ``y`` of ``b`` their bit maps don't rule out.
+
+    A bit of one map alone stands for a shingle at least that the other line lacks: so many shingles are
+    outside of the intersection at least, and what can be inside it bounds the index from above.
+    """
+    out = np.zeros(len(x), bool)
+    for at in range(0, len(x), 1 << 14):
+        i, j = x[at : at + (1 << 14)], y[at : at + (1 << 14)]
+        p, q = a.maps[i], b.maps[j]
+        only_p, only_q = (np.bitwise_count(m).sum(1, dtype=np.int64) for m in (p & ~q, q & ~p))
+        both = np.minimum(a.count[i] - only_p, b.count[j] - only_q)
+        out[at : at + (1 << 14)] = both >= threshold * np.maximum(1, both + only_p + only_q) - 1e-9
+    return out
 
 
 def _alike(x: frozenset[int], y: frozenset[int], threshold: float) -> bool:
@@ -221,20 +267,21 @@ def _alike(x: frozenset[int], y: frozenset[int], threshold: float) -> bool:
 
 
 def _verify_stars(threshold: float):
-    """Exact Jaccard of each pair; the rows are sorted by u, whose shingles are made once."""
+    """Exact Jaccard of each pair; the rows are sorted by u, whose shingles are made once for a piece."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, own = None, frozenset()
+        now = None
         for whole in batches:
             for b in pieces(iter([whole]), "tv", 1 << 19):
-                sets = _shingle_sets(b.column("tv"))
+                sets = _Sets(b.column("tv"))
                 u = b.column("u").to_pylist()
                 heads = [i for i, x in enumerate(u) if x != (u[i - 1] if i else now)]
-                fresh = dict(zip(heads, _shingle_sets(b.column("tu").take(pa.array(heads, pa.int64())))))
-                near = []
-                for i, y in enumerate(sets):
-                    own = fresh.get(i, own)
-                    near.append(_alike(own, y, threshold))
+                new = np.zeros(len(u), bool)
+                new[heads] = True
+                hubs = _Sets(b.column("tu").take(pa.array([0, *(i for i in heads if i)], pa.int64())))
+                hub = np.cumsum(new) - int(new[0])
+                may = may_be_alike(hubs, hub, sets, np.arange(len(u)), threshold).tolist()
+                near = [ok and _alike(hubs[x], sets[i], threshold) for i, (x, ok) in enumerate(zip(hub.tolist(), may))]
                 now = u[-1]
                 yield pa.record_batch([b.column("u"), b.column("v")], names=["u", "v"]).filter(pa.array(near, pa.bool_()))
 
@@ -283,8 +330,10 @@ def joined_within(lines: pa.Array, sk: np.ndarray, roots: np.ndarray, cell: np.n
         return x
 
     own, out = roots.tolist(), []
-    sets = _shingle_sets(lines)
+    sets = _Sets(lines)
     for x, y in _pairs(sk, roots, cell, least_agreements(threshold)):
+        may = may_be_alike(sets, x, sets, y, threshold)
+        x, y = x[may], y[may]
         for i, j in zip(x.tolist(), y.tolist()):
             a, b = find(own[i]), find(own[j])
             if a != b and _alike(sets[i], sets[j], threshold):

@@ -3,6 +3,7 @@ import random
 import numpy as np
 import pyarrow as pa
 
+from fundstelle.llm import linededup
 from fundstelle.llm.linededup import _shingle_sets, dedup_lines, joined_within, signatures, sketches
 
 WORDS = ["".join(random.Random(i).choices("abcdefghijklmnopqrstuvwxyz", k=3 + i % 7)) for i in range(3000)]
@@ -84,3 +85,24 @@ def test_sketches_find_all_that_all_pairs_do():
         cell = np.arange(len(lines)) // 7
         links = joined_within(arr, sketches(signatures(arr)), np.arange(len(lines)), cell, t)
         assert group(set(links)) == group({(i, j) for i, j in full if cell[i] == cell[j]})
+
+
+def test_maps_rule_out_most_unlike_pairs_and_no_like_one(monkeypatch):
+    rng = random.Random(41)
+    words = ["".join(rng.choices("abcdefghijklmnop", k=6)) for _ in range(300)]
+    common = " ".join(rng.choices(words, k=36))  # lines of an index of about 0.65: their sketches agree often
+    lines = [f"{common} {' '.join(rng.choices(words, k=9))}" for _ in range(150)] + ["ab", "", "aaaaaaaaaaaaaaaa"]
+    lines += [x[:50] + "#" + x[51:] for x in lines[:20]]
+    arr = pa.array(lines)
+    sets = _shingle_sets(arr)
+    x, y = np.triu_indices(len(lines), 1)
+    like = np.array([bool(sets[i] | sets[j]) and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) for i, j in zip(x, y)])
+    own = linededup._Sets(arr)
+    may = linededup.may_be_alike(own, x, own, y, 0.8)
+    assert like.sum() >= 20 and may[like].all() and may[~like].mean() < 0.1
+    compared = []
+    alike = linededup._alike
+    monkeypatch.setattr(linededup, "_alike", lambda a, b, t: compared.append(1) or alike(a, b, t))
+    n = len(lines)
+    links = linededup.joined_within(arr, sketches(signatures(arr)), np.arange(n), np.zeros(n, np.int64), 0.8)
+    assert len(links) >= 19 and len(compared) < 600  # thousands before
