@@ -163,14 +163,14 @@ def _ids_array(lists: list[list[int]]) -> pa.Array:
     return list_array(flat, np.array([len(x) for x in lists], np.int64), pa.int32())
 
 
-def _encode_short(path: str):
+def _encode_short(path: str, check: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
         for b in pieces(batches, "text", 2 << 20):
             # a stretch that the pattern leaves whole is at most a leaf here, so the library's own loop does
             texts = b.column("text").to_pylist()
             ids = [c.encode(t) for t in texts]
-            same = pa.array([c.decode(x) == t for x, t in zip(ids, texts)], pa.bool_())
+            same = pa.array([c.decode(x) == t for x, t in zip(ids, texts)] if check else [None] * len(ids), pa.bool_())
             yield pa.record_batch([b.column("doc_id"), _ids_array(ids), same], names=["doc_id", "ids", "round_trip"])
 
     return run
@@ -187,20 +187,20 @@ def _encode_leaves(path: str):
     return run
 
 
-def _join_leaves(path: str):
+def _join_leaves(path: str, check: bool):
     def run(table: pa.Table) -> pa.Table:
         c = codec(path)
         rows = sorted(table.to_pylist(), key=lambda r: r["k"])
         whole = c.join_all([Leaf(r["part"], r["ids"], r["ends"], r["counts"]) for r in rows])
         n = rows[0]["copies"]
-        same = c.decode(whole.ids) == whole.text
+        same = c.decode(whole.ids) == whole.text if check else None
         return pa.table({"doc_id": pa.array([rows[0]["doc_id"]] * n, pa.int64()), "ids": _ids_array([whole.ids] * n), "round_trip": pa.array([same] * n, pa.bool_())})
 
     return run
 
 
-def encode(docs: DataFrame, path: str = VOCABULARY, leaf_chars: int = LEAF_CHARS) -> DataFrame:
-    """``(doc_id, ids, round_trip)`` for every row: what the library gives for the whole text, and whether decoding gives the text again.
+def encode(docs: DataFrame, path: str = VOCABULARY, leaf_chars: int = LEAF_CHARS, check: bool = True) -> DataFrame:
+    """``(doc_id, ids, round_trip)`` for every row: what the library gives for the whole text, and, with ``check``, whether decoding gives the text again.
 
     Texts of up to ``leaf_chars`` characters are encoded where they are read, without a shuffle. Longer ones are
     cut to leaves, which are encoded in parallel on any executor, and joined again pairwise: around
@@ -211,13 +211,13 @@ def encode(docs: DataFrame, path: str = VOCABULARY, leaf_chars: int = LEAF_CHARS
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     # one scan for each kind: which rows are long is seen from the length alone
-    short = rows.where(F.length("text") <= leaf_chars).mapInArrow(tidy(_encode_short(path)), "doc_id long, ids array<int>, round_trip boolean")
+    short = rows.where(F.length("text") <= leaf_chars).mapInArrow(tidy(_encode_short(path, check)), "doc_id long, ids array<int>, round_trip boolean")
     long = rows.where(F.length("text") > leaf_chars).withColumn("tie", F.xxhash64("text")).groupBy("doc_id", "tie", "text").agg(F.count(F.lit(1)).cast("int").alias("copies"))
     starts = F.sequence(F.lit(0), F.floor((F.length("text") - 1) / leaf_chars).cast("int"))
     leaves = long.select("doc_id", "tie", "copies", F.posexplode(F.transform(starts, lambda i: F.substring("text", i * leaf_chars + 1, F.lit(leaf_chars)))).alias("k", "part"))
     spread = leaves.repartition(F.col("doc_id"), F.col("tie"), F.col("k"))
     done = spread.mapInArrow(tidy(_encode_leaves(path)), "doc_id long, tie long, copies int, k int, part string, ids array<int>, ends array<int>, counts array<int>")
-    whole = done.groupBy("doc_id", "tie").applyInArrow(_join_leaves(path), "doc_id long, ids array<int>, round_trip boolean")
+    whole = done.groupBy("doc_id", "tie").applyInArrow(_join_leaves(path, check), "doc_id long, ids array<int>, round_trip boolean")
     return short.unionByName(whole)
 
 

@@ -119,3 +119,13 @@ def test_checksums_and_records(spark, tmp_path, odd, none):
         with pytest.raises(ValueError):
             parse_record(raw[:at] + bytes([raw[at] ^ 1]) + raw[at + 1 :])
     assert write_records(encode(none), f"file://{tmp_path}/e").count() == 0
+
+
+def test_unchecked_encoding_gives_the_same_ids_without_decoding(monkeypatch):
+    texts = pa.array(["Der Hund läuft.", "", "漢字 ab"])
+    batch = pa.record_batch([pa.array([1, 2, 3]), texts], names=["doc_id", "text"])
+    with_check = next(bpe._encode_short(bpe.VOCABULARY, True)(iter([batch])))
+    monkeypatch.setattr(bpe.Codec, "decode", lambda *_: 1 / 0)
+    without = next(bpe._encode_short(bpe.VOCABULARY, False)(iter([batch])))
+    assert without.column("ids").equals(with_check.column("ids")) and without.column("round_trip").null_count == 3
+    assert with_check.column("round_trip").to_pylist() == [True] * 3
