@@ -24,9 +24,15 @@ BLOCK_LINES = 2048
 #: Lines of a cell up to which cells are compared together.
 SMALL_CELL = 64
 #: Bits of a line's map of shingles.
-MAP_BITS = 2048
+MAP_BITS = 8192
 #: Lines (16 bytes each) that a task remembers to have sent; beyond it forgets them and sends repeated lines again.
 REMEMBERED = 1 << 20
+#: Rows (32 bytes each) of band keys that a task holds before it packs them, and that are sorted at once of one bucket.
+HELD = 1 << 19
+#: Rows of band keys in one packed row at most.
+PACKED = 1 << 10
+#: Buckets of band keys for each shuffle partition.
+BUCKETS = 4
 _RNG = np.random.Generator(np.random.PCG64(20240415))
 _MIX = _RNG.integers(0, 1 << 63, SHINGLE, np.uint64) * np.uint64(2) + np.uint64(1)
 _MULTIPLY = _RNG.integers(0, 1 << 31, HASHES, np.uint32) * np.uint32(2) + np.uint32(1)
@@ -71,7 +77,10 @@ def digests(raw: bytes, start: np.ndarray, end: np.ndarray) -> np.ndarray:
 
 
 def _strings(raw: bytes, start: np.ndarray, end: np.ndarray) -> pa.Array:
-    return pa.array([raw[a:b] for a, b in zip(start.tolist(), end.tolist())], pa.binary()).cast(pa.string(), safe=False)
+    view, offs = memoryview(raw), np.zeros(len(start) + 1, np.int32)
+    np.cumsum(end - start, out=offs[1:])
+    data = b"".join([view[a:b] for a, b in zip(start.tolist(), end.tolist())])
+    return pa.Array.from_buffers(pa.string(), len(start), [None, pa.py_buffer(offs), pa.py_buffer(data)])
 
 
 def shingle_hashes(arr: pa.Array, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -162,12 +171,37 @@ def _new_lines(batches: Iterator[pa.RecordBatch], max_bytes: int) -> Iterator[tu
             yield h[use], _strings(raw, start[use], end[use])
 
 
-def _emit_bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for h, lines in _new_lines(batches, 1 << 18):
-        sig = signatures(lines)
-        keys, sk = band_keys(sig), sketches(sig).view(np.int64)
-        cols = [keys.view(np.int64).ravel(), np.repeat(h[:, 0], BANDS), np.repeat(sk[:, 0], BANDS), np.repeat(sk[:, 1], BANDS)]
-        yield pa.record_batch([pa.array(c) for c in cols], names=["band", "h", "s0", "s1"])
+def _packed(rows: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """Rows (band, h, two words of sketch) as bytes, by the bucket of their band key: the JVM moves and sorts some thousand of them as one."""
+    bucket = (rows[:, 0].view(np.uint64) % np.uint64(buckets)).astype(np.uint16 if buckets <= 1 << 16 else np.int64)
+    order = np.argsort(bucket, kind="stable")
+    bucket = bucket[order].astype(np.int64)
+    first = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+    at = np.concatenate([np.arange(a, b, PACKED) for a, b in zip(first.tolist(), [*first[1:].tolist(), len(bucket)])])
+    offs = (np.append(at, len(bucket)) * 32).astype(np.int32)
+    data = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(offs), pa.py_buffer(rows[order])])
+    return pa.record_batch([pa.array(bucket[at].astype(np.int32)), data], names=["bucket", "rows"])
+
+
+def _emit_bands(buckets: int):
+    """The rows of all band keys of the lines, packed by bucket."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        for h, lines in _new_lines(batches, 1 << 17):
+            sig = signatures(lines)
+            rows = np.empty((len(h), BANDS, 4), np.int64)
+            rows[:, :, 0] = band_keys(sig).view(np.int64)
+            rows[:, :, 1] = h[:, :1]
+            rows[:, :, 2:] = sketches(sig).view(np.int64)[:, None]
+            held.append(rows.reshape(-1, 4))
+            if sum(map(len, held)) >= HELD:
+                yield _packed(np.concatenate(held), buckets)
+                held = []
+        if held:
+            yield _packed(np.concatenate(held), buckets)
+
+    return run
 
 
 def _emit_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,30 +221,55 @@ def _emit_spots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 # -- candidates and their comparison
+def _against_first(rows: np.ndarray, hubs: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows (band, h, sketch) beside the first one of their band, which is one of the ``hubs`` rows in front or else the one of least ``h``:
+    both, without repeated lines, and the first ones of all bands."""
+    order = np.argsort(rows[:, 0], kind="stable")
+    band = rows[order, 0]
+    new = np.append(True, band[1:] != band[:-1])
+    alone = new & np.append(new[1:], True)
+    some = order[~alone]
+    some = some[np.lexsort((rows[some, 1], some >= hubs, rows[some, 0]))]
+    part = rows[some]
+    other = np.append(True, part[1:, 0] != part[:-1, 0])[: len(part)]
+    first = np.flatnonzero(other)
+    hub = part[np.repeat(first, np.diff(np.append(first, len(part))))]
+    other[1:] |= part[1:, 1] != part[:-1, 1]
+    use = other & (part[:, 1] != hub[:, 1])
+    return hub[use], part[use], np.concatenate([rows[order[alone]], part[first]])
+
+
 def _stars(threshold: float):
-    """From (band, h), sorted: each further line of a band beside the band's first one, and whether their sketches agree enough.
-    Nothing of a band is held but its first line's number and sketch."""
+    """From packed rows, sorted by bucket: each further line of a band beside the band's first one, whether their sketches agree enough, and
+    whether the band may have more lines than these two. A task holds one bucket's rows, or ``HELD`` of them and the first one of each band."""
     least = least_agreements(threshold)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        band_now, first, last = None, np.zeros((1, 3), np.int64), 0
+        now, held, hubs, several = None, [], np.zeros((0, 4), np.int64), False
+
+        def judged() -> Iterator[pa.RecordBatch]:
+            nonlocal held, hubs
+            hub, own, firsts = _against_first(np.concatenate([hubs, *held]), len(hubs))
+            held, hubs = [], firsts
+            if len(own):
+                near = agreements(hub[:, 2:].view(np.uint64), own[:, 2:].view(np.uint64)) >= least
+                again = own[1:, 0] == own[:-1, 0]
+                more = np.append(again, False) | np.append(False, again) | several
+                cols = [own[:, 0], hub[:, 1], own[:, 1], near, own[:, 2], own[:, 3], more]
+                yield pa.record_batch([pa.array(np.ascontiguousarray(c)) for c in cols], names=["band", "hub", "h", "near", "s0", "s1", "more"])
+
         for b in batches:
-            if not b.num_rows:
-                continue
-            band, h, s0, s1 = (b.column(c).to_numpy(zero_copy_only=False) for c in ("band", "h", "s0", "s1"))
-            own = np.stack([h, s0, s1], axis=1)
-            new = np.ones(len(h), bool)
-            new[1:] = band[1:] != band[:-1]
-            if band_now is not None and band[0] == band_now:
-                new[0] = False
-            heads = np.flatnonzero(new)
-            hubs = np.concatenate([np.repeat(first, heads[0] if len(heads) else len(h), 0), np.repeat(own[heads], np.diff(np.append(heads, len(h))), 0)])
-            use = ~new & (h != np.append(last, h[:-1]))
-            band_now, first, last = band[-1], hubs[-1:].copy(), int(h[-1])
-            if use.any():
-                near = agreements(hubs[use, 1:].view(np.uint64), own[use, 1:].view(np.uint64)) >= least
-                cols = [band[use], hubs[use, 0], h[use], near, s0[use], s1[use]]
-                yield pa.record_batch([pa.array(np.ascontiguousarray(c)) for c in cols], names=["band", "hub", "h", "near", "s0", "s1"])
+            for bucket, raw in zip(b.column("bucket").to_pylist(), b.column("rows")):
+                if bucket != now:
+                    if held:
+                        yield from judged()
+                    now, hubs, several = bucket, hubs[:0], False
+                held.append(np.frombuffer(raw.as_buffer(), np.int64).reshape(-1, 4))
+                if len(held) * PACKED >= HELD and sum(map(len, held)) >= HELD:
+                    several = True
+                    yield from judged()
+        if held:
+            yield from judged()
 
     return run
 
@@ -224,8 +283,8 @@ class _Sets:
         n = len(self.ends) - 1
         self.count = np.diff(self.ends)
         self.maps = np.empty((n, MAP_BITS // 64), np.uint64)
-        for at in range(0, n, 1024):
-            to = min(n, at + 1024)
+        for at in range(0, n, 256):
+            to = min(n, at + 256)
             bits = np.zeros((to - at, MAP_BITS), bool)
             own = self.h[self.ends[at] : self.ends[to]]
             bits[np.repeat(np.arange(to - at), self.count[at:to]), (own & np.uint64(MAP_BITS - 1)).astype(np.int64)] = True
@@ -249,12 +308,12 @@ def may_be_alike(a: _Sets, x: np.ndarray, b: _Sets, y: np.ndarray, threshold: fl
     outside of the intersection at least, and what can be inside it bounds the index from above.
     """
     out = np.zeros(len(x), bool)
-    for at in range(0, len(x), 1 << 14):
-        i, j = x[at : at + (1 << 14)], y[at : at + (1 << 14)]
+    for at in range(0, len(x), 1 << 12):
+        i, j = x[at : at + (1 << 12)], y[at : at + (1 << 12)]
         p, q = a.maps[i], b.maps[j]
         only_p, only_q = (np.bitwise_count(m).sum(1, dtype=np.int64) for m in (p & ~q, q & ~p))
         both = np.minimum(a.count[i] - only_p, b.count[j] - only_q)
-        out[at : at + (1 << 14)] = both >= threshold * np.maximum(1, both + only_p + only_q) - 1e-9
+        out[at : at + (1 << 12)] = both >= threshold * np.maximum(1, both + only_p + only_q) - 1e-9
     return out
 
 
@@ -404,8 +463,9 @@ def line_components(docs: DataFrame, threshold: float = JACCARD, block: int = BL
     components, in blocks of ``block`` lines. Band keys carry sketches of the signatures (16 bytes a line); texts are fetched and compared
     for pairs whose sketches agree as lines of an index of ``threshold`` do but for one in 100,000.
     """
-    bands = docs.select("text").where("text is not null").mapInArrow(tidy(_emit_bands), "band long, h long, s0 long, s1 long")
-    members = written(bands.repartition("band").sortWithinPartitions("band", "h").mapInArrow(tidy(_stars(threshold)), "band long, hub long, h long, near boolean, s0 long, s1 long"))
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bands = docs.select("text").where("text is not null").mapInArrow(tidy(_emit_bands(BUCKETS * parts)), "bucket int, rows binary")
+    members = written(bands.repartitionById(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(tidy(_stars(threshold)), "band long, hub long, h long, near boolean, s0 long, s1 long, more boolean"))
 
     def texts_of(h: DataFrame) -> DataFrame:
         lines = docs.select("text").where("text is not null").mapInArrow(tidy(_emit_texts), "h long, h2 long, line string")
@@ -419,7 +479,7 @@ def line_components(docs: DataFrame, threshold: float = JACCARD, block: int = BL
     two = one.join(texts.select(F.col("h").alias("u"), F.col("line").alias("tu")), "u").sortWithinPartitions("u")
     edges = written(two.select("u", "v", "tu", "tv").mapInArrow(tidy(_verify_stars(threshold)), "u long, v long"))
     found = components(edges)
-    rooted = members.join(small(found.withColumnRenamed("node", "h")), "h", "left").select("band", "h", F.coalesce("root", "h").alias("root"), "s0", "s1")
+    rooted = members.where("more").join(small(found.withColumnRenamed("node", "h")), "h", "left").select("band", "h", F.coalesce("root", "h").alias("root"), "s0", "s1")
     open_bands = rooted.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
     blocks = F.ceil(F.col("n") / block).cast("int")
     cells = rooted.join(open_bands.select("band", blocks.alias("blocks")), "band").withColumn("own", F.pmod("h", "blocks").cast("int"))
