@@ -14,7 +14,8 @@ import tiktoken
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, list_array, pieces, tidy
+from .common import documents, list_array, pieces, text_buffer, tidy
+from .piecewise import PieceIds, split
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -34,16 +35,32 @@ class Codec:
         self.bytes_of = {i: b for b, i in self.ranks.items()}
         self.enc = tiktoken.Encoding("corpus", pat_str=pattern, mergeable_ranks=self.ranks, special_tokens={})
         self.scan = regex.compile(pattern)
+        self.known = PieceIds() if pattern == PATTERN else None
 
     def encode(self, text: str) -> list[int]:
         return self.enc.encode_ordinary(text)
 
+    def _encode_bytes(self, text: bytes) -> list[int]:
+        return self.encode(text.decode())
+
     def decode(self, ids: list[int]) -> str:
         return self.enc.decode_bytes(ids).decode("utf-8", errors="replace")
 
+    def encode_rows(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts and their number in each, equal to ``encode`` of every text."""
+        if self.known is None:
+            lists = [self.encode(t or "") for t in texts.to_pylist()]
+            return np.array([i for x in lists for i in x], np.int32), np.array([len(x) for x in lists], np.int64)
+        texts.validate(full=True)
+        buf, offs = text_buffer(texts)
+        start, whole = split(buf, offs)
+        first = np.searchsorted(start, offs)
+        ids, counts = self.known(buf, start, np.append(start[1:], len(buf)), np.repeat(whole, np.diff(first)), self.encode_piece, self._encode_bytes)
+        return ids, np.diff(np.concatenate([[0], np.cumsum(counts)])[first])
+
     # -- one stretch of bytes that the pattern doesn't split
     def _direct(self, piece: bytes) -> list[int]:
-        return self.enc._encode_single_piece(piece) if piece else []
+        return self.enc._core_bpe.encode_single_piece(piece) if piece else []
 
     def encode_piece(self, piece: bytes) -> list[int]:
         """Encode halves of a long piece and join them, down to leaves that are encoded at once."""
@@ -74,6 +91,14 @@ class Codec:
     # -- whole texts
     def leaf(self, text: str) -> Leaf:
         """Encode one part of a longer text, with the places where the pattern splits it."""
+        if self.known is not None and text:
+            buf = np.frombuffer(text.encode(), np.uint8)
+            start, whole = split(buf, np.array([0, len(buf)]))
+            if not whole[0]:
+                end = np.append(start[1:], len(buf))
+                found, n = self.known(buf, start, end, np.zeros(len(start), bool), self.encode_piece, self._encode_bytes)
+                chars = end - np.cumsum(buf & 0xC0 == 0x80)[end - 1]
+                return Leaf(text, found.tolist(), chars.tolist(), np.cumsum(n).tolist())
         ids: list[int] = []
         ends, counts = [], []
         for m in self.scan.finditer(text):
@@ -167,11 +192,12 @@ def _encode_short(path: str, check: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
         for b in pieces(batches, "text", 2 << 20):
-            # a stretch that the pattern leaves whole is at most a leaf here, so the library's own loop does
-            texts = b.column("text").to_pylist()
-            ids = [c.encode(t) for t in texts]
-            same = pa.array([c.decode(x) == t for x, t in zip(ids, texts)] if check else [None] * len(ids), pa.bool_())
-            yield pa.record_batch([b.column("doc_id"), _ids_array(ids), same], names=["doc_id", "ids", "round_trip"])
+            ids, counts = c.encode_rows(b.column("text"))
+            same: list[bool | None] = [None] * b.num_rows
+            if check:
+                ends = np.cumsum(counts)
+                same = [c.decode(ids[e - n : e].tolist()) == t for e, n, t in zip(ends.tolist(), counts.tolist(), b.column("text").to_pylist())]
+            yield pa.record_batch([b.column("doc_id"), list_array(ids, counts, pa.int32()), pa.array(same, pa.bool_())], names=["doc_id", "ids", "round_trip"])
 
     return run
 
@@ -190,11 +216,12 @@ def _encode_leaves(path: str):
 def _join_leaves(path: str, check: bool):
     def run(table: pa.Table) -> pa.Table:
         c = codec(path)
-        rows = sorted(table.to_pylist(), key=lambda r: r["k"])
-        whole = c.join_all([Leaf(r["part"], r["ids"], r["ends"], r["counts"]) for r in rows])
-        n = rows[0]["copies"]
+        table = table.sort_by("k").combine_chunks()
+        lists = [[x.values.to_numpy().tolist() for x in table.column(name)] for name in ("ids", "ends", "counts")]
+        whole = c.join_all([Leaf(*x) for x in zip(table.column("part").to_pylist(), *lists)])
+        n, doc_id = table.column("copies")[0].as_py(), table.column("doc_id")[0].as_py()
         same = c.decode(whole.ids) == whole.text if check else None
-        return pa.table({"doc_id": pa.array([rows[0]["doc_id"]] * n, pa.int64()), "ids": _ids_array([whole.ids] * n), "round_trip": pa.array([same] * n, pa.bool_())})
+        return pa.table({"doc_id": pa.array([doc_id] * n, pa.int64()), "ids": _ids_array([whole.ids] * n), "round_trip": pa.array([same] * n, pa.bool_())})
 
     return run
 
