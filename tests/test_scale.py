@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from fundstelle.functions.dialect import guarded, matches
 from fundstelle.operators import tokens
+from fundstelle.operators.case import with_case_markers
 from fundstelle.schema import CITATION, citation, span
 
 WORDS = " ".join(f"w{i}" for i in range(60_000))
@@ -61,3 +62,12 @@ def test_spans_of_odd_labels(spark):
     rows = spark.createDataFrame([(i, x) for i, x in enumerate(lists)], "i int, lab array<string>")
     for r in rows.select("i", tokens.bio_spans(tokens.tokens(F.lit("a b c d")), F.col("lab")).alias("s")).collect():
         assert [(s.start, s.end) for s in r.s] == slow(lists[r.i])
+
+
+def test_addresses_and_dates_are_no_file_numbers(spark):
+    texts = {
+        "+1 (323) 555-4668 Nden 71.78.223.65 ha": [], "4375968545114388 Heit 83.249.81.32 er": [], "5380 Is 22.162.135.192 x": [], "10.0.81.32 Ab 83.24.81.32": [], "am 3 Mai 12.10.2012 war": [],
+        "BVerwG 7 A 9.19 - Urteil": ["7 A 9.19"], "(10 C 23.12). Am": ["10 C 23.12"], "1 K 5137/16.A": ["1 K 5137/16"], "VIII ZR 295/01.2 x": ["VIII ZR 295/01"], "21 B 16.30364": ["21 B 16.30"],
+    }
+    rows = spark.createDataFrame(list(texts.items()), "text string, __x array<string>").drop("__x")
+    assert {r.text: [m.text for m in r.markers] for r in with_case_markers(rows).collect()} == texts
