@@ -6,7 +6,7 @@ import time
 from pyspark.sql import functions as F
 
 from fundstelle.functions.dialect import guarded, matches
-from fundstelle.operators import tokens
+from fundstelle.operators import score, tokens
 from fundstelle.operators.case import with_case_markers
 from fundstelle.schema import CITATION, citation, span
 
@@ -71,3 +71,32 @@ def test_addresses_and_dates_are_no_file_numbers(spark):
     }
     rows = spark.createDataFrame(list(texts.items()), "text string, __x array<string>").drop("__x")
     assert {r.text: [m.text for m in r.markers] for r in with_case_markers(rows).collect()} == texts
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def _scored(spark, rows):
+    return spark.createDataFrame(rows, "doc_id long, ord int, id string, type string, start int, end int")
+
+
+GOLD = [(1, 1, "a", "law", 0, 5), (1, 2, "b", "case", 10, 15), (1, 3, "b", "case", 20, 25), (2, 1, "a", "law", 0, 5)]
+PRED = [(1, 1, "x", "law", 0, 5), (1, 2, "y", "case", 22, 30), (3, 1, "a", "law", 1, 2)]
+
+
+def test_relations_are_not_joined_in_one_stage(spark):
+    kind = "doc_id long, source_id string, target_id string, relation string"
+    gold = spark.createDataFrame([(1, "a", "b", "vgl"), (1, "a", "b", "vgl"), (1, "b", "a", "ivm"), (1, "a", "b", None), (2, "a", "zz", "vgl")], kind)
+    pred = spark.createDataFrame([(1, "x", "y", "vgl"), (1, "y", "x", None)], kind)
+    # gold: a->b (20, 25) once, b->a, a->b without a name; the end zz is unknown; y ends elsewhere than b
+    got = score.relation_scores(_scored(spark, GOLD), gold, _scored(spark, PRED), pred)
+    assert "FullOuter" not in _plan(got) and tuple(got.first())[:3] == (0, 2, 3)
+    same = score.relation_scores(_scored(spark, GOLD), gold, _scored(spark, GOLD), gold)
+    assert tuple(same.first())[:3] == (2, 1, 1)  # what has no name equals nothing
+
+
+def test_overlaps_in_one_pass(spark):
+    got = score.overlap_scores(_scored(spark, GOLD), _scored(spark, PRED))
+    assert {r.type: (r.tp, r.fp, r.fn) for r in got.collect()} == {"all": (2, 1, 2), "law": (1, 1, 1), "case": (1, 0, 1)}
+    assert _plan(got).count("FullOuter") <= 2  # with AQE a plan may be written twice
